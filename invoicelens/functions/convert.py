@@ -56,7 +56,7 @@ def leading_money(cell: Column) -> Column:
 
 def formula_number(result: Column, value: Column) -> Column:
     """A formula cell: its result, or its value where the result is empty or zero."""
-    no_result = result.isNull() | result.isin("", "0")
+    no_result = to_text(result).isNull() | (trimmed(result).try_cast("double") == 0)
     return leading_number(F.when(no_result, value).otherwise(result))
 
 

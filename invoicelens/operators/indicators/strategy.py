@@ -20,7 +20,7 @@ def concentration(fact: DataFrame, req: IndicatorRequest) -> DataFrame:
     the totals to the report are the report itself and that one row.
     """
     keys = ["cliente", "razon_social"]
-    groups = req.in_period(fact).rollup(F.struct(*keys).alias("_customer")).agg(
+    groups = req.in_period(fact).withColumn("_customer", F.struct(*keys)).rollup("_customer").agg(
         F.grouping("_customer").alias("_is_total"),
         *[AGGREGATES[name]().alias(name) for name in ("sales", "commercial", "samples")],
     ).select(
