@@ -39,13 +39,13 @@ def chunk_texts(max_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separa
         pieces, start, end = [], 0, 0
         text = text or ""
         while end < len(text):
-            # A chunk always goes beyond the end of the one before.
-            end, cut = end_of_chunk(text, start, end + 1)
-            piece = text[start:end].strip()
-            if piece:
-                pieces.append(piece)
+            # A chunk goes beyond the end of the one before, and by more than white space.
+            known = end
+            end, cut = end_of_chunk(text, start, known + 1)
+            if text[known:end].strip():
+                pieces.append(text[start:end].strip())
             back = max(start + 1, end - overlap)
-            space = text.find(" ", back, end - 1)
+            space = text.find(" ", back - 1, end - 1)
             start = space + 1 if space >= 0 else back if cut else end
         return pieces
 
