@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from invoicelens.functions.text import without_nul
 
@@ -79,21 +80,34 @@ def pair_with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.select(F.col("embedding").alias("vector"), F.struct("text", "source", "chunkIndex").alias("metadata"))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+def cosine_to(query: Sequence[float], rows_at_once: int = 1024):
+    """A pandas UDF from stored vectors to their cosine similarity to ``query``.
 
+    NULL for a missing vector and for one of all zeros; another dimension is an error. Arrow
+    batches go through one matrix product each: on wide vectors this is several times faster
+    than array functions, which run element by element.
+    """
+    wanted = np.asarray(query, dtype=np.float64)
+    length = float(np.sqrt(wanted @ wanted))
+
+    @F.pandas_udf("double")
+    def similarity(vectors: pd.Series) -> pd.Series:
+        scores = np.full(len(vectors), np.nan)
+        present = np.flatnonzero(vectors.notna().to_numpy())
+        for at in range(0, len(present), rows_at_once):
+            some = present[at:at + rows_at_once]
+            matrix = np.stack(vectors.iloc[some].to_numpy()).astype(np.float64)
+            lengths = np.sqrt((matrix * matrix).sum(axis=1)) * length
+            scores[some] = np.divide(matrix @ wanted, lengths, out=np.full(len(some), np.nan), where=lengths > 0)
+        return pd.Series(scores)
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; NULL when either vector is all zeros."""
-    return _dot(a, b) / F.nullif(F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)), F.lit(0.0))
+    return similarity
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], keys: Sequence[str], top_k: int = 10,
             embedding: str = "embedding") -> DataFrame:
     """The ``top_k`` rows closest to one query vector; every task keeps only its own best."""
-    wanted = F.lit([float(x) for x in query])
-    scored = vectors.withColumn("score", cosine(F.col(embedding), wanted)).filter(F.col("score").isNotNull())
+    scored = vectors.withColumn("score", cosine_to(query)(F.col(embedding))).filter(F.col("score").isNotNull())
     return scored.drop(embedding).orderBy(F.col("score").desc(), *keys).limit(top_k)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from invoicelens.functions.text import document_type
-from invoicelens.plans.joins import insert_or_ignore
+from invoicelens.plans.joins import absent_from, first_per_key, insert_or_ignore
 from invoicelens.schema import FACT_KEY, WORKBOOK_COLUMNS
 from invoicelens.session import materialise
 from invoicelens.sources import store
@@ -27,12 +27,14 @@ def new_sales(rows: DataFrame, stored: DataFrame, order: str = ORDER) -> DataFra
 def load_sales(raw: DataFrame, path: str) -> DataFrame:
     """Load workbook rows into the fact at ``path``; returns the one-row load report.
 
-    The new rows are written to the shared folder before the append, so that the append does
-    not read the table it writes to.
+    The batch is converted once and written to the shared folder, which also tells Catalyst its
+    size for the lookup of stored keys. The rows to add are written there too, so that the
+    append and the report do not depend on the table that changes.
     """
     started = time.monotonic()
     rows = positional_rows(raw)
-    fresh = materialise(new_sales(rows, store.read_fact(raw.sparkSession, path)))
+    batch = materialise(first_per_key(accepted(rows), FACT_KEY, [ORDER]).select(*WORKBOOK_COLUMNS))
+    fresh = materialise(absent_from(batch, store.read_fact(raw.sparkSession, path), FACT_KEY))
     store.append_fact(fresh, path)
     return load_report(rows, fresh, started)
 

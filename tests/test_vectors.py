@@ -75,9 +75,17 @@ def test_pairs_and_search_equal_brute_force(spark, driver_entry):
     assert [r["score"] for r in found] == pytest.approx([-s for s, _, _ in ranked], abs=1e-6)
 
 
-def test_zero_vectors_are_left_out(spark):
-    stored = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 1.0])], "id int, embedding array<float>")
+def test_zero_and_missing_vectors_are_left_out(spark):
+    stored = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 1.0]), (4, None)],
+                                   "id int, embedding array<float>")
     assert [r["id"] for r in vectors.nearest(stored, [2.0, 0.0], ["id"], 5).collect()] == [2, 3]
+    assert vectors.nearest(stored, [0.0, 0.0], ["id"], 5).count() == 0
+
+
+def test_another_dimension_is_an_error(spark):
+    stored = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<float>")
+    with pytest.raises(Exception):
+        vectors.nearest(stored, [1.0, 0.0, 0.0], ["id"]).collect()
 
 
 def test_upsert_replaces_equal_keys(spark, tmp_path):
