@@ -8,6 +8,8 @@ the kind of a line: positive is a sale, zero a free sample, negative a return.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -86,10 +88,14 @@ AGGREGATES: Mapping[str, Callable[[], Column]] = {
     "tickets": lambda: F.count_distinct("idunica"),
     "customers": lambda: F.count_distinct("cliente"),
     "brands": lambda: F.count_distinct("linea"),
+    "amount_lines": lambda: F.count("importe"),
+    "name": lambda: F.max("razon_social"),
     "first_day": lambda: F.min("fecha"),
     "last_day": lambda: F.max("fecha"),
 }
 
+DISTINCT_COUNTS = {"sale_invoices", "sale_customers", "invoices", "tickets", "customers", "brands"}
+
 # Derived on the grouped rows: what each one needs, then the expression.
 DERIVED: Mapping[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
     "samples_or_zero": (("samples",), lambda s: F.coalesce(s, F.lit(0))),
@@ -131,9 +137,25 @@ def metric(name: str) -> Column:
 
 
 def measure(fact: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """One row per group with the aggregates that ``metrics`` rest on."""
+    """One row per group with the aggregates that ``metrics`` rest on.
+
+    Distinct counts are taken apart from the sums and joined to them per group. Together, every
+    (group, counted value) pair would carry all sums through the shuffle; apart, the pairs are
+    bare and the sums are one partial row per group and task.
+    """
     bases = list(dict.fromkeys(base for name in metrics for base in _needed(name)))
-    return fact.groupBy(*by).agg(*[AGGREGATES[b]().alias(b) for b in bases])
+    counts = [b for b in bases if b in DISTINCT_COUNTS]
+    sums = [b for b in bases if b not in DISTINCT_COUNTS]
+
+    def grouped(names: Sequence[str]) -> DataFrame:
+        return fact.groupBy(*by).agg(*[AGGREGATES[n]().alias(n) for n in names])
+
+    if not by or not counts or not sums:
+        return grouped(bases)
+    keys = {column: f"_same_{column}" for column in by}
+    counted = grouped(counts).withColumnsRenamed(keys)
+    same = reduce(and_, [F.col(column).eqNullSafe(F.col(other)) for column, other in keys.items()])
+    return grouped(sums).join(counted, same).drop(*keys.values())
 
 
 def summarise(fact: DataFrame, by: Mapping[str, str], show: Mapping[str, str]) -> DataFrame:

@@ -65,13 +65,11 @@ def without_rotation(fact: DataFrame, req: IndicatorRequest) -> DataFrame:
 
 @indicator("dias_semana_mas_ventas")
 def weekdays(fact: DataFrame, req: IndicatorRequest) -> DataFrame:
-    day = F.col("fecha")
-    rows = req.in_period(fact.filter("importe > 0")).groupBy(
-        weekday_name(day).alias("dia_semana"), weekday_number(day).alias("num_dia")
-    ).agg(
-        F.count_distinct("comprobante").alias("facturas"),
-        F.sum("importe").alias("venta_total"),
-        F.count("importe").alias("_lines"),
-    )
+    sold = req.in_period(fact.filter("importe > 0")).withColumns({
+        "dia_semana": weekday_name(F.col("fecha")), "num_dia": weekday_number(F.col("fecha")),
+    })
+    rows = summarise(sold, {"dia_semana": "dia_semana", "num_dia": "num_dia"}, {
+        "facturas": "invoices", "venta_total": "all_amount", "_lines": "amount_lines",
+    })
     mean = mean_money(F.col("venta_total"), F.col("_lines"))
     return top(rows.withColumn("ticket_promedio", mean).drop("_lines"), "num_dia", [], None, down=False)

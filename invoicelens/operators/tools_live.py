@@ -41,12 +41,8 @@ def health_metrics(fact: DataFrame, start: Day = None, end: Day = None) -> DataF
 
 def _rfm(sold: DataFrame, as_of: Day, names: tuple[str, str, str, str, str]) -> DataFrame:
     key, label, recency, frequency, amount = names
-    return sold.groupBy(F.col("cliente").alias(key)).agg(
-        F.max("razon_social").alias(label),
-        days_between(as_day(as_of), F.max("fecha")).alias(recency),
-        F.count_distinct("idunica").alias(frequency),
-        F.sum("importe").alias(amount),
-    )
+    rows = summarise(sold, {key: "cliente"}, {label: "name", recency: "last_day", frequency: "tickets", amount: "all_amount"})
+    return rows.withColumn(recency, days_between(as_day(as_of), F.col(recency)))
 
 
 RFM_NAMES = ("id", "nombre", "recencia", "frecuencia", "monetario")
