@@ -380,10 +380,24 @@ def entry(spark: SparkSession) -> DataFrame:
 INDICATOR_QUERIES: dict[str, Query] = {key: _indicator(*call) for key, call in INDICATORS.items()}
 
 
+def _llm():
+    """The queries over documents, or nothing where that subpackage is left out."""
+    try:
+        from invoicelens.llm import queries as llm_queries
+    except ModuleNotFoundError as missing:
+        if missing.name in ("invoicelens.llm", "corpus_pipeline"):
+            return None
+        raise
+    return llm_queries
+
+
 def queries() -> dict[str, Query]:
-    return {**INDICATOR_QUERIES, **TOOLS, **BLOCKS, **LOADS, **AUDITS, **DOCUMENTS, **FUNCTIONS}
+    own = {**INDICATOR_QUERIES, **TOOLS, **BLOCKS, **LOADS, **AUDITS, **DOCUMENTS, **FUNCTIONS}
+    llm = _llm()
+    return {**own, **llm.queries()} if llm else own
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle import all_sql
-    return all_sql()
+    llm = _llm()
+    return {**all_sql(), **llm.oracle_sql()} if llm else all_sql()
