@@ -73,12 +73,12 @@ class Measured:
         return self.raw.count(b"!!")
 
     @cached_property
-    def n_distinct_words(self) -> int:
-        return len(set(self.words))
+    def n_stutters(self) -> int:
+        return sum(map(bytes.__eq__, self.words, self.words[1:]))
 
     @cached_property
-    def n_lower(self) -> int:
-        return sum(map(str.islower, self.text.split()))
+    def n_upper(self) -> int:
+        return sum(map(str.isupper, self.text.split()))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -120,9 +120,9 @@ RULES = (
     *BASE_RULES,
     Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
     Rule("exclamations", lambda m: 10 * m.n_marks > m.n_words),
-    Rule("capitals", lambda m: 10 * m.n_lower < 3 * m.n_words),
-    Rule("same_words", lambda m: m.n_words >= 50 and 10 * m.n_distinct_words < m.n_words and m.n_words < 2000),
-    Rule("word_length", lambda m: not 2 * m.n_words <= m.word_chars <= 20 * m.n_words),
+    Rule("capitals", lambda m: 2 * m.n_upper > m.n_words),
+    Rule("stutters", lambda m: 10 * m.n_stutters > 3 * m.n_words),
+    Rule("word_length", lambda m: not 2 * m.n_words <= m.word_chars <= 100 * m.n_words),
     Rule("repeated_lines", lambda m: len(m.lines) >= 4 and 2 * m.n_dup_lines > len(m.lines)),
 )
 
