@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, bpe_transducer, quality_rules
+from . import bin_packing, bpe_counts, bpe_transducer, quality_rules, wu_manber
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,17 +21,28 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
+    placed = bin_packing.assign_shards(table(spark, folder, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_counts.count_tokens(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return wu_manber.digest(wu_manber.search_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.measure_documents(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op6_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_byte_bpe, op4_bin_packing, op6_token_counts, op8_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
