@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bin_packing, bpe_counts, bpe_transducer, quality_rules, wu_manber
+from . import additive_model, bin_packing, bpe_counts, bpe_transducer, license_join, personal_data, quality_rules, wu_manber
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,17 +21,34 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return personal_data.digest(personal_data.find_spans(docs, personal_data.train(docs)))
+
+
 def op4_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
     placed = bin_packing.assign_shards(table(spark, folder, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_join.scan_documents(table(spark, folder, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_counts.count_tokens(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_additive_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = additive_model.score_documents(docs, additive_model.train(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", additive_model.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return wu_manber.digest(wu_manber.search_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
@@ -42,7 +59,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_byte_bpe, op4_bin_packing, op6_token_counts, op8_decontamination, op10_quality_rules)}
+        op1_byte_bpe, op3_personal_data, op4_bin_packing, op5_license_scan, op6_token_counts, op7_additive_model,
+        op8_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
