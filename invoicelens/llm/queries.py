@@ -7,7 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import additive_model, bin_packing, bpe_counts, bpe_transducer, license_join, personal_data, quality_rules, wu_manber
+import corpus_pipeline
+
+from . import (
+    additive_model, bin_packing, bpe_counts, bpe_transducer, jaccard_join, license_join, line_dedup, personal_data, quality_rules,
+    wu_manber,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +26,13 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), count_as="n_removed")
+    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint")
+    return kept.select("doc_id", (F.col("n_removed") + F.when(F.col("text").isNull(), 0).otherwise(n_lines)).alias("n_lines"), "n_removed",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return personal_data.digest(personal_data.find_spans(docs, personal_data.train(docs)))
@@ -53,14 +65,18 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return wu_manber.digest(wu_manber.search_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, folder, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.measure_documents(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (
-        op1_byte_bpe, op3_personal_data, op4_bin_packing, op5_license_scan, op6_token_counts, op7_additive_model,
-        op8_decontamination, op10_quality_rules)}
+    operators = (op1_byte_bpe, op2_line_dedup, op3_personal_data, op4_bin_packing, op5_license_scan, op6_token_counts,
+                 op7_additive_model, op8_decontamination, op9_jaccard_join, op10_quality_rules)
+    return {**{f.__name__: f for f in operators}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
