@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -19,7 +20,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         if batch.num_rows:
             yield batch
         return
-    lengths = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
+    lengths = [n or 0 for n in pc.binary_length(texts).to_pylist()]
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if i > start and held + n > limit:
