@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from . import (
-    additive_model, bin_packing, bpe_counts, bpe_transducer, jaccard_join, license_join, line_dedup, personal_data, quality_rules,
-    wu_manber,
+    additive_model, bin_packing, bpe_counts, bpe_transducer, jaccard_join, license_join, line_dedup, oracle, personal_data,
+    quality_rules, wu_manber,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.all_sql()
