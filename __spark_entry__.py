@@ -14,6 +14,7 @@ from invoicelens import run_indicator  # noqa: E402
 from invoicelens.functions import calendar, convert, metrics, text  # noqa: E402
 from invoicelens.operators import audit, evaluation, tools_earlier as earlier, tools_live as live, vectors  # noqa: E402
 from invoicelens.plans.params import between_days, top  # noqa: E402
+from invoicelens.schema import WORKBOOK_COLUMNS  # noqa: E402
 from invoicelens.sources import loads, samples, store, vector_store, workbook as book  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,8 +257,7 @@ AUDITS: dict[str, Query] = {
     "q2_primeras_filas_sin_idunica": lambda s, f: audit.missing_key_rows(samples.workbook(s, f), [book.ORDER])
     .select("comprobante", "articulo", "art", "cod_ven"),
     "q3_filas": _over_fact(store.row_count),
-    "q4_perfil": lambda s, f: audit.profile(samples.sales_fact(s, f), samples.FILE_ORDER,
-                                            ("idunica", "cliente", "art", "cod_ven", "cantidad", "importe", "linea")),
+    "q4_perfil": lambda s, f: audit.profile(samples.sales_fact(s, f), samples.FILE_ORDER, WORKBOOK_COLUMNS),
 }
 
 
@@ -278,7 +278,14 @@ def _nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _paired(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.pair_with_vectors(_chunks(spark, folder), samples.chunk_vectors(spark, folder))
+    chunks = _chunks(spark, folder)
+    return vectors.pair_with_vectors(chunks, samples.chunk_vectors(chunks, folder))
+
+
+def _paired_flat(spark: SparkSession, folder: str) -> DataFrame:
+    at = [F.round(F.get("vector", F.lit(i - 1)).cast("double"), 6).alias(f"v{i}") for i in (1, 2, 32, 64)]
+    return _paired(spark, folder).select("metadata.source", "metadata.chunkIndex", "metadata.text", *at,
+                                         F.size("vector").cast("bigint").alias("dimension"))
 
 
 def _vector_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,7 +306,7 @@ DOCUMENTS: dict[str, Query] = {
     "v1_fragmentos": _chunks,
     "v2_coseno_top_k": _nearest,
     "v3_sin_nul": _clean,
-    "v4_fragmentos_con_vector": _paired,
+    "v4_fragmentos_con_vector": _paired_flat,
     "a8_busqueda_semantica": _vector_query,
     "e1_puntaje": _scores,
     "e2_resumen": lambda s, f: evaluation.run_summary(_scores(s, f).withColumn("succeeded", F.col("score") == 1)),

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Number grammar of a cell prefix, the white space a trim removes, date forms.
+# Number grammar of a cell prefix and of a whole cell, the white space a trim removes, date forms.
 NUMBER_PREFIX = r"^[\s\u00a0\ufeff\u2028\u2029\p{Zs}]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+HEX_NUMBER = r"^0[xX][0-9a-fA-F]{1,15}$"
 BLANK = r"[\s\u00a0\ufeff\u2028\u2029\p{Zs}]"
 OUTER_SPACE = rf"^{BLANK}+|{BLANK}+$"
 ZONED_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(?:Z|[+-]\d{2}:?\d{2})$"
@@ -26,11 +28,17 @@ def to_text(cell: Column) -> Column:
     return F.nullif(trimmed(cell), F.lit(""))
 
 
+def _whole_number(cell: Column) -> Column:
+    """The whole cell as a finite number, decimal or hexadecimal; NULL for anything else."""
+    text = trimmed(cell)
+    decimal = F.when(text.rlike(NUMBER), text).try_cast("double")
+    finite = F.when(F.abs(decimal) < float("inf"), decimal)
+    return F.when(text.rlike(HEX_NUMBER), F.conv(F.substring(text, 3, 16), 16, 10).try_cast("double")).otherwise(finite)
+
+
 def strict_number(cell: Column, default: float = 0.0) -> Column:
-    """The whole cell as a number; empty or not numeric gives ``default``."""
-    number = trimmed(cell).try_cast("double")
-    usable = F.when(~F.isnan(number), number)
-    return F.coalesce(usable, F.lit(float(default)))
+    """The whole cell as a number; empty, not numeric or not finite gives ``default``."""
+    return F.coalesce(_whole_number(cell), F.lit(float(default)))
 
 
 def strict_integer(cell: Column, default: int = 0) -> Column:
@@ -56,7 +64,7 @@ def leading_money(cell: Column) -> Column:
 
 def formula_number(result: Column, value: Column) -> Column:
     """A formula cell: its result, or its value where the result is empty or zero."""
-    no_result = to_text(result).isNull() | (trimmed(result).try_cast("double") == 0)
+    no_result = to_text(result).isNull() | (_whole_number(result) == 0)
     return leading_number(F.when(no_result, value).otherwise(result))
 
 

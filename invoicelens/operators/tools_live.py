@@ -70,6 +70,10 @@ def profitability(fact: DataFrame, group_by: str, start: Day = None, end: Day =
     Discounts are those of all lines. Sample cost is not defaulted, so a group without samples
     has no real profit and sorts first.
     """
+    return top(_profit_rows(fact, group_by, start, end), "rentabilidad_real_neta", ["dimension"], limit)
+
+
+def _profit_rows(fact: DataFrame, group_by: str, start: Day, end: Day) -> DataFrame:
     if group_by not in ("vendedor", "articulo", "linea", "subcanal", "fecha"):
         raise ValueError(f"cannot group by {group_by!r}")
     key = dimension(group_by)
@@ -79,14 +83,13 @@ def profitability(fact: DataFrame, group_by: str, start: Day = None, end: Day =
         "costo_de_ventas": "cost", "costo_muestras": "samples",
     })
     net_sales = F.col("ventas_brutas") - F.col("descuentos_totales")
-    rows = (
+    return (
         base.withColumn("ventas_netas", net_sales)
         .withColumn("utilidad_bruta", F.col("ventas_netas") - F.col("costo_de_ventas"))
         .withColumn("rentabilidad_real_neta", F.col("utilidad_bruta") - F.col("costo_muestras"))
         .withColumn("margen_bruto_pct", percent(F.col("utilidad_bruta"), F.col("ventas_netas")))
         .withColumn("margen_real_pct", percent(F.col("rentabilidad_real_neta"), F.col("ventas_netas")))
     )
-    return top(rows, "rentabilidad_real_neta", ["dimension"], limit)
 
 
 def sales_opportunities(fact: DataFrame, start: Day = None, end: Day = None, group_by: str | None = None,
@@ -154,11 +157,14 @@ def churn_risk(fact: DataFrame, as_of: Day = None, min_recency: int = 45, top_ti
     return tiled.withColumn("clasificacion", F.when(risky, F.lit("Riesgo Crítico de Fuga")))
 
 
-def leak_measure(fact: DataFrame, group_by: str, start: Day = None, end: Day = None, limit: int = 20) -> DataFrame:
-    """Gross sales against real profit, with the parts due to discounts and samples."""
-    rows = profitability(fact, group_by, start, end, limit)
+def leak_measure(fact: DataFrame, group_by: str, start: Day = None, end: Day = None, limit: int | None = None) -> DataFrame:
+    """Gross sales against real profit of every group, with the parts due to discounts and samples.
+
+    The largest leak comes first; ``limit`` keeps the first groups only.
+    """
+    rows = _profit_rows(fact, group_by, start, end)
     leak = F.col("ventas_brutas") - F.col("rentabilidad_real_neta")
-    return rows.select(
+    measured = rows.select(
         "dimension", "ventas_brutas", "rentabilidad_real_neta",
         leak.alias("fuga"),
         percent(leak, F.col("ventas_brutas")).alias("fuga_pct"),
@@ -167,3 +173,4 @@ def leak_measure(fact: DataFrame, group_by: str, start: Day = None, end: Day = N
         "costo_muestras",
         percent(F.col("costo_muestras"), F.col("ventas_brutas")).alias("impacto_muestras_pct"),
     )
+    return top(measured, "fuga", ["dimension"], limit)

@@ -75,11 +75,19 @@ def require_text(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pair_with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """{vector, metadata} of each chunk; ``vectors`` has source, chunkIndex and embedding."""
-    joined = chunks.join(vectors, ["source", "chunkIndex"])
+    """{vector, metadata} of each chunk; ``vectors`` has source, chunkIndex and embedding.
+
+    A chunk without a vector stays, with a NULL vector; ``without_vector`` lists those.
+    """
+    joined = chunks.join(vectors, ["source", "chunkIndex"], "left")
     return joined.select(F.col("embedding").alias("vector"), F.struct("text", "source", "chunkIndex").alias("metadata"))
 
 
+def without_vector(paired: DataFrame) -> DataFrame:
+    """The chunks of ``pair_with_vectors`` that have no vector yet."""
+    return paired.filter(F.col("vector").isNull()).select("metadata.*")
+
+
 def cosine_to(query: Sequence[float], rows_at_once: int = 1024):
     """A pandas UDF from stored vectors to their cosine similarity to ``query``.
 

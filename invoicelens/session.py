@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # A larger limit sorts, instead of keeping that many rows of each task in memory.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Plans are built from many small expressions; recording a call site for each is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -89,8 +89,10 @@ WORKBOOK_DEFECTS = {
     "cliente": "CASE WHEN art % 89 = 1 THEN '0' WHEN art % 89 = 2 THEN CAST(cliente AS STRING) || 'x' ELSE ' ' || CAST(cliente AS STRING) END",
     "comprobante": "CASE WHEN art % 83 = 1 THEN '  ' WHEN art % 83 = 2 THEN NULL ELSE comprobante END",
     "articulo": "CASE WHEN art % 79 = 1 THEN NULL ELSE articulo END",
-    "cantidad": "CASE WHEN art % 73 = 1 THEN CAST(cantidad AS STRING) || ' u.' WHEN art % 73 = 2 THEN 'sin dato' ELSE CAST(cantidad AS STRING) END",
-    "descuento": "CASE WHEN art % 71 = 1 THEN '-2.5' WHEN art % 71 = 2 THEN '' ELSE CAST(descuento AS STRING) END",
+    "cantidad": "CASE WHEN art % 73 = 1 THEN CAST(cantidad AS STRING) || ' u.' WHEN art % 73 = 2 THEN 'sin dato' "
+                "WHEN art % 73 = 3 THEN '12d' WHEN art % 73 = 4 THEN 'Infinity' WHEN art % 73 = 5 THEN '0x10' WHEN art % 73 = 6 THEN '12f' ELSE CAST(cantidad AS STRING) END",
+    "descuento": "CASE WHEN art % 71 = 1 THEN '-2.5' WHEN art % 71 = 2 THEN '' "
+                 "WHEN art % 71 = 3 THEN '-Infinity' WHEN art % 71 = 4 THEN '7f' WHEN art % 71 = 5 THEN '0X1f' ELSE CAST(descuento AS STRING) END",
     "fecha": "CASE WHEN art % 67 = 1 THEN 'pendiente' WHEN art % 67 = 2 THEN CAST(fecha AS STRING) || 'T10:00:00' ELSE CAST(fecha AS STRING) END",
     "fecha_pedido": "CAST(CAST(fecha_pedido AS DATE) AS STRING)",
     "peso": "CASE WHEN art % 61 = 1 THEN '-1' ELSE CAST(peso AS STRING) END",
@@ -125,13 +127,11 @@ def stored_before(rows: DataFrame, day: str) -> DataFrame:
     return rows.filter(F.col("fecha") < F.lit(day).cast("date"))
 
 
-def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored vectors as those of the documents' chunks, two vectors per document."""
-    return table(spark, folder, "embeddings").select(
-        F.floor(F.col("vec_id") / 2).cast("string").alias("source"),
-        (F.col("vec_id") % 2).cast("int").alias("chunkIndex"),
-        "embedding",
-    )
+def chunk_vectors(chunks: DataFrame, folder: str) -> DataFrame:
+    """A stored vector for every chunk, picked by its document and index."""
+    stored = table(chunks.sparkSession, folder, "embeddings").select("vec_id", "embedding")
+    picked = (F.col("source").cast("bigint") * 31 + F.col("chunkIndex")) % stored.agg(F.count(F.lit(1))).scalar()
+    return chunks.select("source", "chunkIndex", picked.alias("vec_id")).join(stored, "vec_id").drop("vec_id")
 
 
 def recorded_runs(spark: SparkSession, folder: str) -> DataFrame:

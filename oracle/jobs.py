@@ -27,7 +27,9 @@ def day(cell: str) -> str:
 
 
 def number(cell: str) -> str:
-    return f"COALESCE(TRY_CAST(trim({cell}) AS DOUBLE), 0)"
+    text = f"trim({cell})"
+    return (f"COALESCE(CASE WHEN regexp_full_match({text}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST({text} AS DOUBLE)"
+            f" WHEN regexp_full_match({text}, '0[xX][0-9a-fA-F]+') THEN CAST(TRY_CAST(lower({text}) AS BIGINT) AS DOUBLE) END, 0)")
 
 
 def rounded(cell: str) -> str:
@@ -141,7 +143,7 @@ def _field(c: str) -> str:
 RECONCILE = f"""SELECT campo, {es_ar('a', 3)} AS origen, {es_ar('b', 3)} AS destino, a - b AS diferencia,
  CASE WHEN ABS(a - b) < 0.01 THEN 'OK' ELSE 'ERROR' END AS estado FROM ({' UNION ALL '.join(_field(c) for c in ('count', *RECONCILED))}) f"""
 
-PROFILE = "idunica|cliente|art|cod_ven|cantidad|importe|linea"
+PROFILE = "|".join(WORKBOOK_COLUMNS)
 LINE = "concat_ws('|', " + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '')" for c in PROFILE.split("|")) + ")"
 LINES = f"(SELECT {LINE} AS linea_texto, ROW_NUMBER() OVER (ORDER BY idunica, art, cod_ven, cantidad, facturacion, descuento, d1) AS rn FROM v) z"
 
@@ -157,6 +159,30 @@ def _last(n: int) -> str:
  FROM conversations) c WHERE rn <= {n}"""
 
 
+# Chunks: from one chunk to the next, as long as text is left. Positions count from 0.
+_SEPARATORS = ("chr(10) || chr(10)", "chr(10)", "' '")
+_FOUND = " ".join(f"WHEN strpos(reverse(win), {s}) > 0 THEN e + 1 + length(win) - strpos(reverse(win), {s}) + 1" for s in _SEPARATORS)
+_ANY = " OR ".join(f"strpos(win, {s}) > 0" for s in _SEPARATORS)
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+CHUNKS = f"""d AS (SELECT doc_id, replace(text, chr(0), '') AS t FROM documents WHERE length(trim(replace(text, chr(0), ''))) > 0),
+step AS (
+ SELECT doc_id, 0 AS n, 0 AS s, 0 AS known, 0 AS e, FALSE AS cut FROM d
+ UNION ALL
+ SELECT doc_id, n + 1, s, e, CASE WHEN s + 512 >= length(t) THEN length(t) {_FOUND} ELSE s + 512 END, s + 512 < length(t) AND NOT ({_ANY})
+ FROM (SELECT *, substr(t, e + 2, greatest(s + 512 - e - 1, 0)) AS win FROM (
+  SELECT doc_id, n, e, t, CASE WHEN sp > 0 THEN back - 1 + sp WHEN cut THEN back ELSE e END AS s FROM (
+   SELECT step.doc_id, n, e, cut, t, greatest(s + 1, e - 50) AS back,
+    strpos(substr(t, CAST(greatest(s + 1, e - 50) AS BIGINT), greatest(e - greatest(s + 1, e - 50), 0)), ' ') AS sp
+   FROM step JOIN d ON d.doc_id = step.doc_id WHERE e < length(t)) a) b) c),
+chunk AS (
+ SELECT CAST(doc_id AS VARCHAR) AS source, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS "chunkIndex",
+  {_STRIP.format("substr(t, s + 1, e - s)")} AS text
+ FROM step JOIN d USING (doc_id) WHERE n > 0 AND {_STRIP.format("substr(t, known + 1, e - known)")} <> '')"""
+PAIRED = f"""{CHUNKS}, paired AS (
+ SELECT chunk.*, embedding FROM chunk LEFT JOIN embeddings
+ ON vec_id = (CAST(source AS BIGINT) * 31 + "chunkIndex") % (SELECT COUNT(*) FROM embeddings))"""
+
+
 STATEMENTS = {
     "i01_carga_posicional": over_typed(f"SELECT {', '.join(WORKBOOK_COLUMNS)} FROM t"),
     "i02_carga_por_encabezado": over_headed(f"SELECT * {KEYS_OUT} FROM h"),
@@ -198,6 +224,12 @@ ORDER BY {FILE_ORDER} LIMIT 5"""),
     "v2_coseno_top_k": """SELECT vec_id, label, ROUND(s, 6) AS score FROM (
  SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
   CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])) AS s FROM embeddings) e ORDER BY s DESC, vec_id LIMIT 10""",
+    "v1_fragmentos": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunk",
+    "v4_fragmentos_con_vector": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", text,
+ {', '.join(f'ROUND(CAST(embedding[{i}] AS DOUBLE), 6) AS v{i}' for i in (1, 2, 32, 64))}, len(embedding) AS dimension FROM paired""",
+    "a8_busqueda_semantica": f"""WITH RECURSIVE {PAIRED} SELECT text, source, "chunkIndex", ROUND(s, 6) AS score FROM (
+ SELECT *, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+  CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])) AS s FROM paired) p ORDER BY s DESC, source, "chunkIndex" LIMIT 10""",
     "v3_sin_nul": "SELECT doc_id, concat(lang, source, replace(text, chr(0), '')) AS texto FROM documents",
     "e1_puntaje": SCORES,
     "e2_resumen": f"""SELECT COUNT(*) FILTER (WHERE score = 1) AS exitosos, COUNT(*) - COUNT(*) FILTER (WHERE score = 1) AS fallidos,

@@ -102,7 +102,7 @@ FROM (SELECT *, NTILE(4) OVER (ORDER BY monetario DESC NULLS FIRST, id) AS grupo
     "e5_deteccion_de_fugas": f"""SELECT cod_ven AS dimension, {VN} AS ventas_brutas, {REAL} AS rentabilidad_real_neta, {LEAK} AS fuga,
  {pct(LEAK, VN)} AS fuga_pct, SUM(d1) AS descuentos_totales, {pct('SUM(d1)', VN)} AS impacto_descuentos_pct,
  {MUN} AS costo_muestras, {pct(MUN, VN)} AS impacto_muestras_pct
-FROM v WHERE cod_ven IS NOT NULL AND {PERIOD} GROUP BY cod_ven {first('rentabilidad_real_neta', 'dimension', 20)}""",
+FROM v WHERE cod_ven IS NOT NULL AND {PERIOD} GROUP BY cod_ven""",
     "b01_filtro_fecha_herramienta": f"SELECT COUNT(*) AS filas, MAX(fecha) AS ultima FROM v WHERE {days(end='1999-12-31')}",
     "b02_filtro_fecha_indicador": f"SELECT rubro, SUM(importe) AS venta_facturada FROM v GROUP BY rubro {first('venta_facturada', 'rubro')}",
     "b03_dimensiones": """SELECT MAX(cod_ven) AS vendedor, MAX(razon_social) AS cliente, MAX(articulo) AS articulo,
