@@ -17,6 +17,8 @@ still in different components, those of different components are compared as wel
 costs about one comparison per member. Buckets that a sample shows to be very large never meet in one task: their smallest id
 is found by partial aggregation and sent to the rows. Equal sets are found by their hash and indexed about once per slice of a batch.
 
+Pairs that share too few signatures for their sizes are left out before sets are compared.
+
 **Verification** is on the whole sets, made anew for the candidates only.
 
 Cases: NULL and empty texts have the empty set and link with nothing; texts under 5 words are one shingle; repeated rows
@@ -34,7 +36,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from invoicelens.session import materialise
+from invoicelens.session import discard, materialise
 
 from .batches import map_texts
 from .bounded import Memo, held
@@ -128,11 +130,13 @@ class Bands:
         return [own, self._bands[k - 1]] if k and -(-size * self.percent // 100) < own.low else [own]
 
 
-def signatures(shingles: np.ndarray, bands: list[Band]) -> np.ndarray:
-    made = []
+def signatures(shingles: np.ndarray, bands: list[Band]) -> tuple[np.ndarray, int]:
+    """The signatures of a set in some bands, and what its empty segments take from the coverage of the first (0 without any)."""
+    made, first_lost = [], None
     for band in bands:
         m = band.segments
         if m == 0:
+            first_lost = first_lost or 0
             continue
         segment = (mix(shingles ^ np.uint64(band.number * 2 + 1)) % np.uint64(m)).astype(np.int64)
         value = mix(shingles + _K)
@@ -149,9 +153,11 @@ def signatures(shingles: np.ndarray, bands: list[Band]) -> np.ndarray:
         made.append(mix(np.repeat(sums, counts)[some] - value[some] + salts[segment[some]]))
         empty = np.setdiff1d(np.arange(m), present)
         alone = segment[near & single]
-        if len(empty) + (empty >= band.exact).sum() + len(alone) > band.spare:
+        lost = len(empty) + int((empty >= band.exact).sum()) + len(alone)
+        first_lost = lost if first_lost is None else first_lost
+        if lost > band.spare:
             made.append(mix(salts[np.concatenate([empty, alone])] ^ _K))
-    return np.unique(np.concatenate(made)) if made else np.empty(0, np.uint64)
+    return (np.unique(np.concatenate(made)) if made else np.empty(0, np.uint64)), first_lost or 0
 
 
 def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
@@ -161,58 +167,72 @@ def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def index_documents(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
-    """Rows (id, n_shingles, hi, lo, signatures); later copies of a set within a slice carry no signatures."""
-    n_docs = docs.count()
+    """Rows (id, n_shingles, hi, lo, segments, lost, signatures); of equal sets in a slice only the smallest id has signatures.
 
+    ``segments`` and ``lost`` are those of the set's own band.
+    """
+    n_docs = docs.count()
     key = uuid.uuid4().hex
 
-    def per_slice(texts: list[str]) -> dict[str, list]:
-        bands, seen = held(key, lambda: Bands(n_docs, percent)), set()  # what a slice gives depends on the slice alone
-        made: dict[str, list] = {"n_shingles": [], "hi": [], "lo": [], "signatures": []}
-        for text in texts:
-            shingles = shingle_set(text)
-            hi, lo = set_hashes(shingles)
-            own = np.empty(0, np.uint64)
-            if len(shingles) and (hi, lo) not in seen:
-                seen.add((hi, lo))
-                own = signatures(shingles, bands.of(len(shingles)))
-            for name, value in (("n_shingles", len(shingles)), ("hi", hi), ("lo", lo), ("signatures", own.view(np.int64))):
-                made[name].append(value)
+    def per_slice(texts: list[str], ids: list) -> dict[str, list]:
+        bands = held(key, lambda: Bands(n_docs, percent))  # what a slice gives depends on the slice alone
+        sets = [shingle_set(t) for t in texts]
+        hashes = [set_hashes(s) for s in sets]
+        first: dict[tuple[int, int], int] = {}
+        for at, (own, doc) in enumerate(zip(hashes, ids)):
+            if len(sets[at]) and doc is not None and (own not in first or doc < ids[first[own]]):
+                first[own] = at
+        made: dict[str, list] = {"n_shingles": [len(s) for s in sets], "hi": [h for h, _ in hashes], "lo": [low for _, low in hashes],
+                                 "segments": [], "lost": [], "signatures": []}
+        for at, shingles in enumerate(sets):
+            in_bands = bands.of(len(shingles)) if len(shingles) else []
+            own, lost = signatures(shingles, in_bands) if first.get(hashes[at]) == at else (np.empty(0, np.uint64), 0)
+            made["segments"].append(in_bands[0].segments if in_bands else 0)
+            made["lost"].append(lost)
+            made["signatures"].append(own.view(np.int64))
         return made
 
-    indexed = map_texts(docs, id_col, text_col, "n_shingles bigint, hi bigint, lo bigint, signatures array<bigint>", per_slice)
-    return materialise(indexed.withColumnRenamed(id_col, "id"))
+    fields = "n_shingles bigint, hi bigint, lo bigint, segments int, lost int, signatures array<bigint>"
+    return materialise(map_texts(docs, id_col, text_col, fields, per_slice, with_ids=True).withColumnRenamed(id_col, "id"))
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Rows (id, n_shingles, component_id), one per row of ``docs``."""
-    indexed = index_documents(docs, id_col, text_col, percent)
-    sets = materialise(indexed.filter(F.col("n_shingles") > 0).groupBy("hi", "lo").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n")).filter(F.col("rep").isNotNull()))
-    given = indexed.filter(F.col("id").isNotNull())
+    wide = index_documents(docs, id_col, text_col, percent)
+    indexed = materialise(wide.drop("signatures"))
+    full = indexed.filter(F.col("n_shingles") > 0)
+    sets = materialise(full.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # Of equal sets the smallest id stands for all; it has signatures, being the smallest of its slice too.
+    copies = full.select("id", "hi", "lo").join(sets.filter("copies > 1"), ["hi", "lo"]).filter(F.col("id") != F.col("rep")).select("id")
+    given = wide.filter(F.size("signatures") > 0).join(broadcast_if_small(materialise(copies.distinct())), "id", "left_anti")
     as_rows = lambda df: df.select(F.explode("signatures").alias("signature"), "id")
     buckets = shared_buckets(as_rows(given), as_rows(given.filter(F.pmod(F.xxhash64("hi", "id"), F.lit(SAMPLE)) == 0)))
-    # Ids in buckets, with the smallest id of an equal set in their place.
-    own = indexed.filter(F.col("n_shingles") > 0).select("id", "hi", "lo")
-    members = materialise(buckets.select("id").distinct().join(own, "id").join(sets, ["hi", "lo"]).select("id", "rep", "n").distinct())
-    as_rep = members.select("id", "rep")
-    buckets = materialise(
-        buckets.join(as_rep, "id").drop("id").join(as_rep.withColumnsRenamed({"id": "hub", "rep": "hub_rep"}), "hub")
-        .select("signature", F.col("rep").alias("id"), F.col("hub_rep").alias("hub")).distinct())
-    sizes = members.select("rep", "n").distinct()
-    groups = resolve(buckets, lambda pairs: _fitting(pairs, sizes, percent), lambda pairs: _verified(docs, id_col, text_col, pairs, percent))
+    discard(wide)
+    shared = buckets.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    members = materialise(shared.join(full.select("id", "n_shingles", "segments", "lost").distinct(), "id"))
+    groups = resolve(buckets, lambda pairs: _fitting(pairs, members, percent), lambda pairs: _verified(docs, id_col, text_col, pairs, percent))
     changed = sets.join(groups, sets["rep"] == groups["node"], "left").select(
         "hi", "lo", "copies", "rep", F.coalesce("component", "rep").alias("component")).filter(
-        (F.col("copies") > 1) | (F.col("component") != F.col("rep")))
-    full, none = indexed.filter(F.col("n_shingles") > 0), indexed.filter(F.col("n_shingles") == 0)
+        (F.col("copies") > 1) | (F.col("component") != F.col("rep"))).select("hi", "lo", "component")
+    none = indexed.filter(F.col("n_shingles") == 0)
     return (full.join(changed, ["hi", "lo"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
             .union(none.select("id", "n_shingles", F.col("id"))).withColumnRenamed("id", id_col))
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes allow a link."""
-    sized = pairs.join(sizes.withColumnsRenamed({"rep": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "n": "n_b"}), "b")
-    return sized.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+def _fitting(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can link by what is known without their sets.
+
+    Sizes must fit, and all segments of the smaller set's band but for the differing and lost ones share a signature, so each
+    set must have at least so many signatures in shared buckets.
+    """
+    named = [members.withColumnsRenamed({c: c if c == "id" else f"{c}_{x}" for c in members.columns}).withColumnRenamed("id", x) for x in "ab"]
+    sized = pairs.join(named[0], "a").join(named[1], "b")
+    differing = F.floor((F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - percent) / F.lit(100 + percent))
+    a_smaller = F.struct("n_shingles_a", "a") < F.struct("n_shingles_b", "b")
+    needed = F.when(a_smaller, F.col("segments_a") - F.col("lost_a")).otherwise(F.col("segments_b") - F.col("lost_b")) - differing
+    return sized.filter(
+        (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+        & (F.least("shared_a", "shared_b") >= needed)).select("a", "b")
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, percent: int) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import keep_texts, map_texts, slices
+from .batches import keep_texts, map_texts, ship_package, slices
 
 # Fixed values of the contract.
 WHITE = b" \t\n\r\x0b\x0c"
@@ -144,6 +144,7 @@ def profile(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
                 yield pa.RecordBatch.from_pylist(rows, pa.schema(
                     [("rule", pa.int32()), ("seconds", pa.float64()), ("asked", pa.int64()), ("rejected", pa.int64())]))
 
+    ship_package(docs.sparkSession)
     measured = sample.mapInArrow(run, "rule int, seconds double, asked bigint, rejected bigint")
     return measured.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("asked").alias("asked"),
                                         F.sum("rejected").alias("rejected"))

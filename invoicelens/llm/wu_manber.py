@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from invoicelens.session import materialise
 
-from .batches import keep_texts, slices
+from .batches import keep_texts, ship_package, slices
 from .bounded import held
 
 WINDOW = 10
@@ -181,6 +181,7 @@ def _pass(current: DataFrame, part: list[tuple[object, str]], window: int) -> Da
                     [piece.column(0), piece.column(1), *[pa.array(c, type=f.type) for c, f in zip((counts, spans, items), list(arrow)[2:])]],
                     schema=arrow)
 
+    ship_package(current.sparkSession)
     return current.mapInArrow(run, schema)
 
 
