@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -15,7 +16,8 @@ from invoicelens.functions import calendar, convert, metrics, text  # noqa: E402
 from invoicelens.operators import audit, evaluation, tools_earlier as earlier, tools_live as live, vectors  # noqa: E402
 from invoicelens.plans.params import between_days, top  # noqa: E402
 from invoicelens.schema import WORKBOOK_COLUMNS  # noqa: E402
-from invoicelens.sources import loads, samples, store, vector_store, workbook as book  # noqa: E402
+from invoicelens.session import shared_folder  # noqa: E402
+from invoicelens.sources import loads, samples, star, store, vector_store, workbook as book  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,6 +187,24 @@ def _upsert(name: str) -> Query:
     return run
 
 
+def _star(read: Callable[[SparkSession, str, DataFrame, DataFrame], DataFrame]) -> Query:
+    """What two successive loads left: the earlier rows, then the rows from the load day on."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        raw = samples.headed_workbook(spark, folder)
+        day = convert.to_day(F.col("Fecha"))
+        place = f"{shared_folder(spark)}/star-{uuid.uuid4().hex}"
+        at_first, at_last = (F.lit(t).cast("timestamp_ntz") for t in ("2000-01-01 00:00:00", "2001-08-01 00:00:00"))
+        boundary = F.lit(LOADED_BEFORE).cast("date")
+        star.load_star(raw.filter(day < boundary), place, at_first)
+        report = star.load_star(raw.filter(day >= boundary), place, at_last)
+        return read(spark, place, book.headed_rows(raw), report)
+    return run
+
+
+def _stored_dimension(name: str) -> Query:
+    return _star(lambda spark, place, rows, report: star.read_dimension(spark, place, name, rows.schema))
+
+
 def _invoices(spark: SparkSession, folder: str) -> DataFrame:
     return loads.invoice_rows(_headed(spark, folder)).drop(book.ORDER)
 
@@ -240,6 +260,12 @@ LOADS: dict[str, Query] = {
     "i08_upsert_dim_articulo": _upsert("dim_articulo"),
     "i09_upsert_dim_vendedor": _upsert("dim_vendedor"),
     "i10_upsert_dim_ruta": _upsert("dim_ruta"),
+    "i07_dim_cliente_guardada": _stored_dimension("dim_cliente"),
+    "i08_dim_articulo_guardada": _stored_dimension("dim_articulo"),
+    "i09_dim_vendedor_guardada": _stored_dimension("dim_vendedor"),
+    "i10_dim_ruta_guardada": _stored_dimension("dim_ruta"),
+    "i12_comprobantes_guardados": _star(lambda spark, place, rows, report: star.read_invoices(spark, place, rows)),
+    "i13_informe_de_estrella": _star(lambda spark, place, rows, report: report.drop("durationMs")),
     "i11_filas_comprobante": _invoices,
     "i12_insertar_comprobantes": _new_invoices,
     "i13_informe_de_carga": _report,

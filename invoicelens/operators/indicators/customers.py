@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from invoicelens.functions.calendar import days_between
+from invoicelens.functions.calendar import days_between, month_label
 from invoicelens.functions.metrics import mean_money, measure, metric, percent, ratio, summarise
 from invoicelens.plans.catalogue import indicator
 from invoicelens.plans.joins import not_in
-from invoicelens.plans.params import IndicatorRequest, or_default, sort_key, top
+from invoicelens.plans.params import MONTH, IndicatorRequest, or_default, sort_key, top
 from invoicelens.plans.ranking import with_tile
 
 CUSTOMER = ["cliente", "razon_social"]
@@ -79,10 +79,10 @@ def dormant(fact: DataFrame, req: IndicatorRequest) -> DataFrame:
 def reactivated(fact: DataFrame, req: IndicatorRequest) -> DataFrame:
     """Customers of the period without a purchase in the days before its first sale."""
     period = req.in_period(fact)
-    first = period.agg(F.min("fecha")).scalar()
-    earlier = fact.filter(
-        (F.col("fecha") >= F.date_sub(first, or_default(req.dias_previos, 90))) & (F.col("fecha") < first)
-    )
+    first, days = period.agg(F.min("fecha")).scalar(), or_default(req.dias_previos, 90)
+    earlier = fact.filter((F.col("fecha") >= F.date_sub(first, days)) & (F.col("fecha") < first))
+    if MONTH in fact.columns:  # whole months are skipped as well
+        earlier = earlier.filter(F.col(MONTH).between(month_label(F.date_sub(first, days)), month_label(first)))
     back = period.groupBy(*CUSTOMER).agg(F.min("fecha").alias("fecha_reactivacion"))
     rows = not_in(back, earlier, "cliente").select(*CUSTOMER, "fecha_reactivacion")
     return top(rows, "fecha_reactivacion", CUSTOMER, req.limite, down=False)

@@ -1,0 +1,41 @@
+"""Tables kept as whole versions: a new one is written beside the old, and readers take the newest complete one.
+
+A version is complete when its writer has finished, so a job that dies leaves the version before it in force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+KEPT = 2
+
+
+def _versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    found = [int(n[8:]) for n in names if n.startswith("version=") and n[8:].isdigit()]
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(v for v in found if not complete or files.exists(make(f"{path}/version={v}/_SUCCESS")))
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest complete version; no rows where there is none."""
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}")
+
+
+def write_snapshot(table: DataFrame, path: str) -> None:
+    """Publish ``table``, which may read the version before; older ones than that are deleted."""
+    spark = table.sparkSession
+    version = max(_versions(spark, path, complete=False), default=0) + 1
+    table.write.parquet(f"{path}/version={version}")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in _versions(spark, path, complete=False):
+        if old <= version - KEPT:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)

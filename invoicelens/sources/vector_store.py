@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from invoicelens.schema import vector_schema
+from invoicelens.sources.snapshots import read_snapshot, write_snapshot
 
 KEY = ("source", "chunkIndex")
 
@@ -16,8 +17,11 @@ def _keys() -> list:
 def upsert_vectors(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored vectors with those of ``incoming`` added; an equal (source, chunkIndex) is replaced.
 
-    Only the keys of the incoming side take part in the join.
+    A key that comes more than once in ``incoming`` is taken once, with the largest text and vector. Only the keys of the
+    incoming side take part in the join.
     """
+    one = F.max(F.struct("metadata.text", "vector", "metadata")).alias("one")
+    incoming = incoming.groupBy(*_keys()).agg(one).select("one.vector", "one.metadata")
     keys = incoming.select(*_keys())
     named = [f"_{k}" for k in KEY]
     kept = stored.withColumns({f"_{k}": F.col(f"metadata.{k}") for k in KEY}).join(keys, named, "left_anti")
@@ -25,8 +29,14 @@ def upsert_vectors(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("overwrite").parquet(path)
+    """Publish the vectors as the new version of the store at ``path``, which they may have been read from."""
+    write_snapshot(vectors, path)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(vector_schema()).parquet(path)
+    return read_snapshot(spark, path, vector_schema())
+
+
+def publish_vectors(incoming: DataFrame, path: str) -> None:
+    """Add ``incoming`` to the store at ``path``; equal keys are replaced."""
+    write_vectors(upsert_vectors(read_vectors(incoming.sparkSession, path), incoming), path)

@@ -183,6 +183,11 @@ PAIRED = f"""{CHUNKS}, paired AS (
  ON vec_id = (CAST(source AS BIGINT) * 31 + "chunkIndex") % (SELECT COUNT(*) FROM embeddings))"""
 
 
+# Invoice lines after both loads: the first of each key in the earlier rows, then the keys of the later rows that those lack.
+STAR = f"""z AS (SELECT *, {OLD} AS earlier, ROW_NUMBER() OVER (PARTITION BY Comprobante, Art, {OLD} ORDER BY {FILE_ORDER}) AS rn
+ FROM h WHERE Fecha IS NOT NULL),
+k AS (SELECT * FROM z WHERE rn = 1 AND (earlier OR NOT EXISTS (SELECT 1 FROM z o WHERE o.earlier AND o.Comprobante = z.Comprobante AND o.Art = z.Art)))"""
+
 STATEMENTS = {
     "i01_carga_posicional": over_typed(f"SELECT {', '.join(WORKBOOK_COLUMNS)} FROM t"),
     "i02_carga_por_encabezado": over_headed(f"SELECT * {KEYS_OUT} FROM h"),
@@ -208,6 +213,10 @@ STATEMENTS = {
     "i13_informe_de_carga": over_typed(f"""SELECT a AS "totalRows", i AS "insertedRows", a - r - i AS "skippedRows", r AS "rejectedRows", 0 AS "failedChunks"
 FROM (SELECT (SELECT COUNT(*) FROM t) AS a, (SELECT COUNT(*) FROM t WHERE motivo_rechazo IS NOT NULL) AS r,
  (SELECT COUNT(*) FROM ({NEW_SALES}) x) AS i) y"""),
+    "i12_comprobantes_guardados": over_headed(f"SELECT {INVOICE} FROM k", STAR),
+    "i13_informe_de_estrella": over_headed("""SELECT (SELECT COUNT(*) FROM z WHERE NOT earlier) AS "totalRows",
+ (SELECT COUNT(*) FROM k WHERE NOT earlier) AS "insertedRows",
+ (SELECT COUNT(*) FROM z WHERE NOT earlier) - (SELECT COUNT(*) FROM k WHERE NOT earlier) AS "skippedRows", 0 AS "failedChunks\"""", STAR),
     "i14_tabla_por_mes": over_fact("SELECT strftime(fecha, '%Y-%m') AS mes_particion, COUNT(*) AS filas, SUM(importe) AS importe FROM v GROUP BY 1"),
     "i15_lectura": over_fact("SELECT * FROM v"),
     "i16_destino_vectores": """SELECT 'v' AS source, CAST(vec_id AS INTEGER) AS "chunkIndex", '' AS text, ROUND(CAST(embedding[1] AS DOUBLE), 6) AS primero
@@ -241,5 +250,9 @@ FROM (SELECT event_id, EXTRACT(HOUR FROM ts - INTERVAL 3 HOUR) AS h FROM events)
 }
 
 
+STORED = {"i07_dim_cliente_guardada": "i07_upsert_dim_cliente", "i08_dim_articulo_guardada": "i08_upsert_dim_articulo",
+          "i09_dim_vendedor_guardada": "i09_upsert_dim_vendedor", "i10_dim_ruta_guardada": "i10_upsert_dim_ruta"}
+
+
 def sql() -> dict[str, str]:
-    return dict(STATEMENTS)
+    return {**STATEMENTS, **{stored: STATEMENTS[rows] for stored, rows in STORED.items()}}

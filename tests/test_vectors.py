@@ -63,7 +63,7 @@ def test_empty_text_is_an_error_when_asked(spark):
 
 def test_pairs_and_search_equal_brute_force(spark, driver_entry):
     found = driver_entry.queries()["a8_busqueda_semantica"](spark, SF).collect()
-    pairs = driver_entry.queries()["v4_fragmentos_con_vector"](spark, SF).collect()
+    pairs = driver_entry._paired(spark, SF).collect()
     query = np.array(driver_entry._first_vector(spark, SF), dtype=float)
 
     def score(vector):
