@@ -58,3 +58,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/invoicelens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more."""
+    folder = shared_folder(table.sparkSession)
+    jvm = table.sparkSession.sparkContext._jvm
+    for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        if path.rpartition("/")[2].startswith("invoicelens-") and path.rpartition("/")[0].rpartition(":")[2].lstrip("/") == folder.rpartition(":")[2].lstrip("/"):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
