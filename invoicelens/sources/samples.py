@@ -115,10 +115,22 @@ def workbook(spark: SparkSession, folder: str) -> DataFrame:
 
 # Samples for the other operators
 
+# Cells that files with headers write another way. Their trucks, drivers and categories are numbers, and some
+# later rows lack a name or an address.
+HEADED_CELLS = {
+    "camion": "substr(camion, 2)",
+    "rubro": "substr(rubro, 2)",
+    "chofer": "regexp_extract(chofer, '([0-9]+)$', 1)",
+    "razon_social": "CASE WHEN CAST(art AS INT) % 7 = 1 AND fecha >= '2000' THEN NULL ELSE razon_social END",
+    "direccion": "CASE WHEN CAST(art AS INT) % 7 < 3 AND fecha >= '2000' THEN '' ELSE direccion END",
+}
+
+
 def headed_workbook(spark: SparkSession, folder: str) -> DataFrame:
     """The sample workbook under header names; the two columns without a header are left out."""
     names = {h.lower(): h for h in HEADER_COLUMNS}
     rows = workbook(spark, folder)
+    rows = rows.select(*[F.expr(HEADED_CELLS.get(c, f"`{c}`")).alias(c) for c in WORKBOOK_COLUMNS], "orden_archivo")
     return rows.select(*[F.col(c).alias(names[c]) for c in WORKBOOK_COLUMNS if c in names], "orden_archivo")
 
 

