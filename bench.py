@@ -16,7 +16,7 @@ import time
 from pyspark.sql import DataFrame
 
 from invoicelens import build_session, run_indicator
-from invoicelens.operators import tools_earlier as earlier, tools_live as live
+from invoicelens.operators import tools_earlier as earlier, tools_live as live, vectors
 from invoicelens.plans.joins import insert_or_ignore
 from invoicelens.schema import FACT_KEY
 from invoicelens.sources import samples, store
@@ -45,8 +45,14 @@ def main() -> None:
         "k01_rentabilidad_vendedor": lambda: run_indicator(fact, "rentabilidad_vendedor", limite=50),
         "k11_clientes_no_compran_marca": lambda: run_indicator(fact, "clientes_no_compran_marca", marca="Brand#2"),
         "k20_rfm_segmentacion": lambda: run_indicator(fact, "rfm_segmentacion", as_of=AS_OF, limite=50),
+        "k12_clientes_campeones": lambda: run_indicator(fact, "clientes_campeones", limite=50),
+        "k16_reactivacion_clientes": lambda: run_indicator(
+            fact, "reactivacion_clientes", fechaInicio="2001-01-01", fechaFin="2001-06-30", limite=50),
         "k38_rendimiento_chofer": lambda: run_indicator(fact, "rendimiento_chofer", limite=50),
         "a6_sales_opportunities": lambda: live.sales_opportunities(fact, "2000-01-01", "2001-06-30"),
+        "l4_ticket_promedio": lambda: earlier.mean_ticket(fact),
+        "v1_fragmentos": lambda: vectors.chunk_documents(samples.table(spark, SF_DIR, "documents"), "doc_id", "text"),
+        "v2_coseno_top_k": lambda: vectors.nearest(samples.table(spark, SF_DIR, "embeddings"), [1.0] * 64, ["vec_id"], 10),
         "l6_concentracion_pareto": lambda: earlier.pareto_share(fact),
         "i04_insertar_o_ignorar": lambda: insert_or_ignore(
             fact.select(*business), earlier_part, FACT_KEY, list(samples.FILE_ORDER)),

@@ -9,6 +9,7 @@ from invoicelens.operators.tools_live import Day, _rfm
 from invoicelens.plans.params import between_days, or_default, sort_key, top
 from invoicelens.plans.ranking import with_row_number
 
+# Columns to group by, and the names of the orders.
 GROUPABLE = ("cod_ven", "rubro", "articulo", "cliente", "descripcion", "subcanal", "segmentoproducto", "linea")
 ORDERABLE = {"ventas": "ventas_totales_brutas", "margen": "margen_total", "cantidad": "cantidad_total"}
 

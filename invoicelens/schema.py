@@ -57,22 +57,6 @@ def fact_schema() -> T.StructType:
     return T.StructType([T.StructField(c, fact_type(c)) for c in WORKBOOK_COLUMNS])
 
 
-def stored_fact_schema() -> T.StructType:
-    """The fact as a sink keeps it: load time and free-form JSON text added."""
-    return T.StructType(
-        fact_schema().fields
-        + [T.StructField("created_at", T.TimestampType()), T.StructField("metadata", T.StringType())]
-    )
-
-
-def chunk_schema() -> T.StructType:
-    return T.StructType([
-        T.StructField("source", T.StringType()),
-        T.StructField("chunkIndex", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-    ])
-
-
 def vector_schema() -> T.StructType:
     return T.StructType([
         T.StructField("vector", T.ArrayType(T.FloatType())),

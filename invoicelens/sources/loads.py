@@ -60,6 +60,7 @@ def load_report(rows: DataFrame, inserted: DataFrame, started: float | None = No
 
 # Dimensions
 
+# Per dimension the header of its key, the key, and the header of each attribute.
 DIMENSION_CELLS = {
     "dim_cliente": ("Cliente", "cliente_id", {
         "razon_social": "Razon_Social", "direccion": "Direccion",
@@ -73,7 +74,7 @@ DIMENSION_CELLS = {
     "dim_ruta": ("reparto", "reparto_id", {"camion": "camion", "chofer_id": "chofer"}),
 }
 
-# Attributes that an incoming row overwrites even with NULL.
+# Attributes that an incoming row overwrites even with NULL.
 OVERWRITTEN = {"dim_cliente": {"razon_social"}, "dim_ruta": {"camion", "chofer_id"}}
 
 
@@ -117,7 +118,7 @@ def upsert_dimension(name: str, stored: DataFrame, incoming: DataFrame, now: Col
 # Invoice fact
 
 def invoice_rows(rows: DataFrame) -> DataFrame:
-    """The 20 columns of ``fact_comprobante_detalle``."""
+    """The 20 columns of ``fact_comprobante_detalle``; names and source headers are fixed values."""
     source = {
         "comprobante": F.col("Comprobante"),
         "tipo_comprobante": document_type(F.col("Comprobante")),

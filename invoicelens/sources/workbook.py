@@ -95,6 +95,7 @@ def rows_as_they_come(raw: DataFrame) -> DataFrame:
     return raw.select(*typed)
 
 
+# Headers of whole numbers, amounts and dates.
 _HEADED_INTS = ("Cliente", "Art", "Cantidad", "descuento", "cod_ven", "camion", "reparto", "chofer", "rubro")
 _HEADED_MONEY = ("Importe", "neto", "pr_costo_uni_neto", "valordesc", "facturacion", "CMV", "d1", "d2", "peso")
 _HEADED_DATES = ("Fecha", "fecha_pedido")
