@@ -176,3 +176,13 @@ def test_pareto_share_keeps_at_least_one(make_fact):
 
 def test_empty_period_gives_no_groups(small_fact):
     assert rows(run_indicator(small_fact, "ganancia_por_categoria", fechaInicio="2030-01-01")) == []
+
+
+def test_the_largest_leaks_are_shown(make_fact):
+    """More groups than any default limit; the least profitable ones leak most."""
+    rows = [dict(cod_ven=n, importe=100, facturacion=100, cmv=10, d1=n, cantidad=1, fecha="2024-01-10", idunica=str(n)) for n in range(40)]
+    rows += [dict(cod_ven=n, importe=0, facturacion=0, cmv=1, d1=0, cantidad=1, fecha="2024-01-10", idunica=f"m{n}") for n in range(40)]
+    from invoicelens.operators import tools_live
+    shown = [r["dimension"] for r in tools_live.leak_measure(make_fact(*rows), "vendedor").collect()]
+    assert shown == list(range(39, -1, -1))
+    assert [r["dimension"] for r in tools_live.leak_measure(make_fact(*rows), "vendedor", limit=3).collect()] == [39, 38, 37]

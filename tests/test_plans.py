@@ -40,3 +40,10 @@ def test_columns_and_filters_reach_the_scan(stored):
 def test_one_scan_for_shares_and_health(stored):
     assert physical(run_indicator(stored, "indice_concentracion_pareto")).count("FileScan") == 1
     assert physical(live.health_metrics(stored, "2024-01-01", "2024-01-31")).count("FileScan") == 1
+
+
+def test_look_back_names_its_months(stored):
+    plan = physical(run_indicator(stored, "reactivacion_clientes", fechaInicio="2024-01-01", fechaFin="2024-01-31"))
+    scans = [part for part in plan.split("FileScan")[1:] if "PartitionFilters" in part]
+    filters = [part.split("PartitionFilters:")[1].split("PushedFilters")[0] for part in scans]
+    assert filters and all("mes_particion" in text for text in filters)

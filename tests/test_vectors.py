@@ -99,3 +99,11 @@ def test_upsert_replaces_equal_keys(spark, tmp_path):
     got = sorted((r["metadata"]["source"], r["metadata"]["chunkIndex"], r["metadata"]["text"])
                  for r in vector_store.read_vectors(spark, str(tmp_path / "v")).collect())
     assert got == [("a", 0, "x"), ("a", 1, "z"), ("b", 0, "w")]
+
+
+def test_a_chunk_without_a_vector_stays(spark):
+    chunks = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "source string, chunkIndex int, text string")
+    stored = spark.createDataFrame([("a", 1, [1.0])], "source string, chunkIndex int, embedding array<float>")
+    paired = vectors.pair_with_vectors(chunks, stored)
+    assert paired.count() == 2
+    assert [tuple(r) for r in vectors.without_vector(paired).collect()] == [("x", "a", 0)]
