@@ -12,6 +12,7 @@ def one(spark, value, build, kind="string"):
 
 @pytest.mark.parametrize("cell, expected", [
     (None, 0), ("", 0), ("  ", 0), (" 12.5 ", 12.5), ("12abc", 0), ("abc", 0), ("-2.5", -2.5), ("1e3", 1000), (" 7", 7),
+    ("12d", 0), ("12f", 0), ("Infinity", 0), ("-Infinity", 0), ("NaN", 0), ("1e400", 0), ("0x10", 16), ("0XfF", 255), ("0x", 0), ("+.5e1", 5),
 ])
 def test_strict_number(spark, cell, expected):
     assert one(spark, cell, convert.strict_number) == expected
