@@ -18,7 +18,7 @@ from .components import connected_components
 SAMPLE = 64  # one in so many rows shows which buckets are large
 LARGE = 64  # rows in the sample of such a bucket
 BROADCAST_ROWS = 1_000_000
-MORE_HUBS = 2
+MORE_HUBS = 1
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -43,43 +43,74 @@ def shared_buckets(rows: DataFrame, sampled: DataFrame) -> DataFrame:
     return materialise(cold.union(hot.join(hubs, "signature").select("signature", "id", "hub")))
 
 
-def resolve(buckets: DataFrame, fitting: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resolve(buckets: DataFrame, fitting: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame],
+            least: DataFrame | None = None) -> DataFrame:
     """Rows (node, component) of all ids that link with another, for buckets (signature, id, hub).
 
-    ``fitting`` drops pairs (a, b) that can't link, ``verified`` keeps those that do.
+    ``fitting`` drops pairs (a, b, common) that can't link; ``common`` counts the buckets of both, where known. ``verified``
+    keeps the pairs that do link. ``least`` (id, least) tells how many buckets an id shares at least with any that it links
+    with; components with too few buckets in common are then not compared at all.
     """
-    tried = _distinct_pairs(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")), fitting)
+    tried = materialise(_distinct_pairs(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")), fitting))
     links = verified(tried)
     groups = connected_components(links)
-    for turn in range(MORE_HUBS + 1):
+    more_hubs = MORE_HUBS
+    while True:
         split = _split(buckets, groups)
         if split.isEmpty():
             break
-        if turn < MORE_HUBS:  # the smallest id outside the first one's component, against all other components
+        last = more_hubs == 0
+        if not last:  # the smallest id outside the first one's component, against all other components
             hub = split.filter(F.col("own") != F.col("first")).groupBy("signature").agg(
                 F.min("id").alias("a"), F.min_by("own", "id").alias("hub_own"))
             raw = split.join(hub, "signature").filter(F.col("own") != F.col("hub_own")).select("a", F.col("id").alias("b"))
         else:
+            near = _near_components(split, least)
             left, right = (split.select("signature", F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
-            raw = left.join(right, "signature").filter((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b"))).select("a", "b")
-        fresh = materialise(_distinct_pairs(raw, fitting).join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
+            raw = left.join(near, "own_a").join(right, ["signature", "own_b"]).select("a", "b")
+        fresh = materialise(_distinct_pairs(raw, fitting, counted=last).join(tried, ["a", "b"], "left_anti"))
+        empty = fresh.isEmpty()
+        if empty and last:
+            break
+        more_hubs = 0 if empty else more_hubs - 1
+        if empty:
             continue
         tried = materialise(tried.union(fresh))
         links = materialise(links.union(verified(fresh)))
         groups = connected_components(links)
+        if last:
+            break
     return groups
 
 
-def _distinct_pairs(raw: DataFrame, fitting: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    pairs = raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
-    return materialise(fitting(pairs))
+def _near_components(split: DataFrame, least: DataFrame | None) -> DataFrame:
+    """Rows (own_a, own_b) of components with enough buckets in common for a link between their members."""
+    named = split.select("signature", "own").distinct()
+    both = named.withColumnRenamed("own", "own_a").join(named.withColumnRenamed("own", "own_b"), "signature").filter(F.col("own_a") < F.col("own_b"))
+    common = both.groupBy("own_a", "own_b").agg(F.count(F.lit(1)).alias("common"))
+    if least is not None:
+        of = split.select("id", "own").distinct().join(least, "id").groupBy("own").agg(F.min("least").alias("least"))
+        for x in "ab":
+            common = common.join(of.withColumnsRenamed({"own": f"own_{x}", "least": f"least_{x}"}), f"own_{x}")
+        common = common.filter(F.col("common") >= F.greatest("least_a", "least_b"))
+    return materialise(common.select("own_a", "own_b"))
+
+
+def _distinct_pairs(raw: DataFrame, fitting: Callable[[DataFrame], DataFrame], counted: bool = False) -> DataFrame:
+    """Pairs a < b that fit. Pairs not yet compared are in split buckets only, so ``counted`` rows tell all they share."""
+    pairs = raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") != F.col("b"))
+    common = F.count(F.lit(1)) if counted else F.lit(None).cast("bigint")
+    return fitting(pairs.groupBy("a", "b").agg(common.alias("common")))
 
 
 def _split(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (signature, id, own, first) of buckets with several components; ``first`` is the smallest id's."""
+    """Rows (signature, id, own, first) of buckets with several components; ``first`` is the smallest id's.
+
+    Both members of a bucket of two have been compared already.
+    """
     named = buckets.join(groups.withColumnsRenamed({"node": "id"}), "id", "left").select(
         "signature", "id", F.coalesce("component", "id").alias("own"))
-    spread = named.groupBy("signature").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.min_by("own", "id").alias("first"))
-    spread = spread.filter(F.col("least") != F.col("most")).select("signature", "first")
+    spread = named.groupBy("signature").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.min_by("own", "id").alias("first"),
+                                             F.count(F.lit(1)).alias("n"))
+    spread = spread.filter((F.col("least") != F.col("most")) & (F.col("n") > 2)).select("signature", "first")
     return materialise(named.join(spread, "signature"))

@@ -21,6 +21,8 @@ Pairs that share too few signatures for their sizes are left out before sets are
 
 **Verification** is on the whole sets, made anew for the candidates only.
 
+Ids name documents: rows that share an id are the same document given again.
+
 Cases: NULL and empty texts have the empty set and link with nothing; texts under 5 words are one shingle; repeated rows
 link as equal sets; a row without id takes part by an equal set only, and else has component NULL; an empty table gives an
 empty table. Two shingles with one hash would count as equal (about one pair in 10^19).
@@ -130,13 +132,13 @@ class Bands:
         return [own, self._bands[k - 1]] if k and -(-size * self.percent // 100) < own.low else [own]
 
 
-def signatures(shingles: np.ndarray, bands: list[Band]) -> tuple[np.ndarray, int]:
-    """The signatures of a set in some bands, and what its empty segments take from the coverage of the first (0 without any)."""
-    made, first_lost = [], None
+def signatures(shingles: np.ndarray, bands: list[Band]) -> tuple[np.ndarray, list[int]]:
+    """The signatures of a set in some bands, and per band how many segments can match in coverage that empty ones don't take."""
+    made, left = [], []
     for band in bands:
         m = band.segments
         if m == 0:
-            first_lost = first_lost or 0
+            left.append(0)
             continue
         segment = (mix(shingles ^ np.uint64(band.number * 2 + 1)) % np.uint64(m)).astype(np.int64)
         value = mix(shingles + _K)
@@ -154,10 +156,10 @@ def signatures(shingles: np.ndarray, bands: list[Band]) -> tuple[np.ndarray, int
         empty = np.setdiff1d(np.arange(m), present)
         alone = segment[near & single]
         lost = len(empty) + int((empty >= band.exact).sum()) + len(alone)
-        first_lost = lost if first_lost is None else first_lost
+        left.append(m - lost)
         if lost > band.spare:
             made.append(mix(salts[np.concatenate([empty, alone])] ^ _K))
-    return (np.unique(np.concatenate(made)) if made else np.empty(0, np.uint64)), first_lost or 0
+    return (np.unique(np.concatenate(made)) if made else np.empty(0, np.uint64)), left
 
 
 def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
@@ -167,9 +169,10 @@ def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def index_documents(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
-    """Rows (id, n_shingles, hi, lo, segments, lost, signatures); of equal sets in a slice only the smallest id has signatures.
+    """Rows (id, n_shingles, hi, lo, matching, least, signatures); of equal sets in a slice only the smallest id has signatures.
 
-    ``segments`` and ``lost`` are those of the set's own band.
+    ``matching`` counts the segments of the set's own band that would match if nothing differed, ``least`` is the smallest
+    such count of its bands.
     """
     n_docs = docs.count()
     key = uuid.uuid4().hex
@@ -183,16 +186,16 @@ def index_documents(docs: DataFrame, id_col: str, text_col: str, percent: int =
             if len(sets[at]) and doc is not None and (own not in first or doc < ids[first[own]]):
                 first[own] = at
         made: dict[str, list] = {"n_shingles": [len(s) for s in sets], "hi": [h for h, _ in hashes], "lo": [low for _, low in hashes],
-                                 "segments": [], "lost": [], "signatures": []}
+                                 "matching": [], "least": [], "signatures": []}
         for at, shingles in enumerate(sets):
             in_bands = bands.of(len(shingles)) if len(shingles) else []
-            own, lost = signatures(shingles, in_bands) if first.get(hashes[at]) == at else (np.empty(0, np.uint64), 0)
-            made["segments"].append(in_bands[0].segments if in_bands else 0)
-            made["lost"].append(lost)
+            own, left = signatures(shingles, in_bands) if first.get(hashes[at]) == at else (np.empty(0, np.uint64), [0])
+            made["matching"].append(left[0])
+            made["least"].append(min(left))
             made["signatures"].append(own.view(np.int64))
         return made
 
-    fields = "n_shingles bigint, hi bigint, lo bigint, segments int, lost int, signatures array<bigint>"
+    fields = "n_shingles bigint, hi bigint, lo bigint, matching int, least int, signatures array<bigint>"
     return materialise(map_texts(docs, id_col, text_col, fields, per_slice, with_ids=True).withColumnRenamed(id_col, "id"))
 
 
@@ -208,9 +211,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as_rows = lambda df: df.select(F.explode("signatures").alias("signature"), "id")
     buckets = shared_buckets(as_rows(given), as_rows(given.filter(F.pmod(F.xxhash64("hi", "id"), F.lit(SAMPLE)) == 0)))
     discard(wide)
-    shared = buckets.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-    members = materialise(shared.join(full.select("id", "n_shingles", "segments", "lost").distinct(), "id"))
-    groups = resolve(buckets, lambda pairs: _fitting(pairs, members, percent), lambda pairs: _verified(docs, id_col, text_col, pairs, percent))
+    known = full.select("id", "n_shingles", "matching", "least").distinct()
+    for _ in range(2):
+        buckets, members = _viable(buckets, known, percent)
+    groups = resolve(buckets, lambda pairs: _fitting(pairs, members, percent), lambda pairs: _verified(docs, id_col, text_col, pairs, percent),
+                     members.select("id", "least"))
     changed = sets.join(groups, sets["rep"] == groups["node"], "left").select(
         "hi", "lo", "copies", "rep", F.coalesce("component", "rep").alias("component")).filter(
         (F.col("copies") > 1) | (F.col("component") != F.col("rep"))).select("hi", "lo", "component")
@@ -219,20 +224,34 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .union(none.select("id", "n_shingles", F.col("id"))).withColumnRenamed("id", id_col))
 
 
+def _viable(buckets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The buckets without sets that share too few signatures to link with any, and the counts (``shared``) of those left.
+
+    A set of n shingles differs from one it links with in at most ``n (1 + 1 / t) (1 - t) / (1 + t)`` shingles.
+    """
+    shared = buckets.groupBy("id").agg(F.count(F.lit(1)).alias("shared")).join(known, "id")
+    most = F.floor(F.col("n_shingles") * (100 + percent) * (100 - percent) / F.lit(percent * (100 + percent)))
+    shared = shared.withColumn("least", F.greatest(F.col("least") - most, F.lit(1)))
+    members = materialise(shared.filter(F.col("shared") >= F.col("least")))
+    rows = buckets.select("signature", "id").join(members.select("id"), "id", "left_semi")
+    hubs = rows.groupBy("signature").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter(F.col("hub") != F.col("last"))
+    return materialise(rows.join(hubs.drop("last"), "signature")), members
+
+
 def _fitting(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs that can link by what is known without their sets.
 
-    Sizes must fit, and all segments of the smaller set's band but for the differing and lost ones share a signature, so each
+    Sizes must fit, and all segments of the smaller set's band but for the differing and empty ones share a signature, so each
     set must have at least so many signatures in shared buckets.
     """
     named = [members.withColumnsRenamed({c: c if c == "id" else f"{c}_{x}" for c in members.columns}).withColumnRenamed("id", x) for x in "ab"]
     sized = pairs.join(named[0], "a").join(named[1], "b")
     differing = F.floor((F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - percent) / F.lit(100 + percent))
     a_smaller = F.struct("n_shingles_a", "a") < F.struct("n_shingles_b", "b")
-    needed = F.when(a_smaller, F.col("segments_a") - F.col("lost_a")).otherwise(F.col("segments_b") - F.col("lost_b")) - differing
+    needed = F.when(a_smaller, F.col("matching_a")).otherwise(F.col("matching_b")) - differing
     return sized.filter(
         (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-        & (F.least("shared_a", "shared_b") >= needed)).select("a", "b")
+        & (F.coalesce("common", F.least("shared_a", "shared_b")) >= needed)).select("a", "b")
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, percent: int) -> DataFrame:
