@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -154,6 +155,45 @@ def test_line_groups_against_brute_force(spark, paragraphs):
     assert found <= wanted and len(found) >= 0.97 * len(wanted)
 
 
+def repeats_by_hand(docs):
+    """All repeats among the lines of (id, text), each line against each; also the numbers of exact ones and of similar kinds."""
+    kinds = {}
+    for i, text in sorted(docs):
+        for n, (words, raw) in enumerate(zip(lines.normal_lines(text), text.split("\n"))):
+            if words or raw.strip():
+                kinds.setdefault(tuple(words) or raw.strip(), []).append((i, n))
+    forest = Forest(kinds[k][0] for k in kinds)
+    long = sorted((k for k in kinds if isinstance(k, tuple) and len(k) >= lines.MIN_WORDS), key=len)
+    counted = [Counter(k) for k in long]
+    for x, a in enumerate(long):
+        for y in range(x):
+            if 5 * len(long[y]) >= 4 * len(a) and 5 * (counted[x] & counted[y]).total() >= 4 * len(a) and lines.similar(a, long[y]):
+                forest.join(kinds[a][0], kinds[long[y]][0])
+    exact = {p for own in kinds.values() for p in own[1:]}
+    return exact | {own[0] for own in kinds.values() if forest.root(own[0]) != own[0]}, exact
+
+
+def found_repeats(spark, docs, **more):
+    rows = lines.lines_to_drop(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), **more).collect()
+    return {(r["id"], n) for r in rows for n in r["dropped"]}
+
+
+def test_all_similar_lines_of_any_length_are_found(spark):
+    pick = random.Random(9)
+    docs = []
+    for i in range(400):
+        n = 5 + i % 36
+        words = ["w%d" % pick.randrange(400) for _ in range(n)]
+        other = list(words)
+        for _ in range(n // 5):
+            at = pick.randrange(len(other))
+            how = pick.randrange(3)
+            other[at:at + 1] = [["zz%d" % pick.randrange(99)], [], [other[at], "yy%d" % pick.randrange(99)]][how]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    wanted, exact = repeats_by_hand(docs)
+    assert len(wanted - exact) > 300 and found_repeats(spark, docs) == wanted
+
+
 def test_edits_against_the_table():
     def plain(a, b):
         row = list(range(len(b) + 1))
