@@ -194,6 +194,19 @@ def test_all_similar_lines_of_any_length_are_found(spark):
     assert len(wanted - exact) > 300 and found_repeats(spark, docs) == wanted
 
 
+def test_repeats_of_short_and_unspaced_lines(spark):
+    chinese, other = "今天天气很好我们一起去公园", "今天天气很好我们一同去公园"
+    docs = [(1, "Menu\n\n---\n\u201cHome\u201d \u2013 one\u00a0two\n" + chinese + "\nno twin"), (2, "menu\n\n---\nHome one two\n" + other + "\n \n***")]
+    assert found_repeats(spark, docs) == {(2, 0), (2, 2), (2, 3), (2, 4)}
+    assert lines.normal_lines("ÉtÉ ไทย 日本のx9\nहिन्दी") == [[w.encode() for w in "été ไ ท ย 日 本 の x9".split()], ["हिन्दी".encode()]]
+
+
+def test_all_repeats_of_the_given_documents_are_found(spark):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    wanted, exact = repeats_by_hand(docs)
+    assert len(exact) > 50 and len(wanted) > len(exact) and found_repeats(spark, docs) == wanted
+
+
 def test_edits_against_the_table():
     def plain(a, b):
         row = list(range(len(b) + 1))
