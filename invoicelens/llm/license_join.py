@@ -5,7 +5,11 @@ least ``threshold`` of the template's words (containment). Words are ordered by
 first; if block and template share enough words, then the first shared one lies in a short prefix of both (prefix filter).
 Blocks with too few words are left out before (length filter), and a shared word too far back can't be the first of enough
 (positional filter). What is left is verified on the whole sets. Words of no template can't be shared, so blocks keep only
-template words. Everything is DataFrame functions; the only data broadcast are the template prefixes, which are parameters.
+template words. Everything is DataFrame functions; the only data broadcast are templates and their prefixes, which are parameters.
+
+A notice may be wrapped over lines. So runs of consecutive words of the whole text, line ends left aside and each as long as
+the template, are blocks as well; as such a run has no bounds of its own, ``threshold`` of the template's words must stand in
+it in the template's order. Only texts that hold enough of a template's words anywhere are looked at for that template.
 
 Beside that, exact phrases give base labels and their places.
 
@@ -53,9 +57,12 @@ _NO_WORD = "".join(chr(c) for c in range(128) if chr(c) != "\n" and not chr(c).i
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def _plain(text: str) -> str:
+    return text.translate(str.maketrans(_NO_WORD + "\n" + _UPPER, " " * (len(_NO_WORD) + 1) + _UPPER.lower()))
+
+
 def template_words(text: str) -> list[str]:
-    plain = text.translate(str.maketrans(_NO_WORD + "\n" + _UPPER, " " * (len(_NO_WORD) + 1) + _UPPER.lower()))
-    return list(dict.fromkeys(plain.split()))
+    return list(dict.fromkeys(_plain(text).split()))
 
 
 def _lowered(text: Column) -> Column:
@@ -93,20 +100,25 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Cut before each place; a place may overlap the one before.
     cut = F.split("padded", " (?=(?:" + "|".join(phrases) + ") )", -1) if phrases else F.array("padded")
     cuts = F.when(any_found, cut)
-    block = F.filter(F.transform(F.split("lines", "\n"), lambda line: F.array_intersect(_strings(vocabulary), F.split(line, " "))),
-                     lambda words: F.size(words) >= least)
+    hits = F.transform(F.split("lines", "\n"), lambda line: F.array_intersect(_strings(vocabulary), F.split(line, " ")))
+    held = F.array_distinct(F.flatten("hits"))
+    wrapped = F.array_compact(F.array(*[F.when(F.size(F.array_intersect(_strings(words), held)) >= n, F.lit(i))
+                                        for i, ((_, words), n) in enumerate(zip(sets, needed))]).cast("array<int>"))
     scanned = materialise(
         padded.select("id", n_words.cast("bigint").alias("n_words"), cuts.alias("cuts"),
                       F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(found[p], label) for p, label in phrases.items()]))))
-                      .cast("array<string>").alias("base_labels"),
-                      block.alias("blocks"))
+                      .cast("array<string>").alias("base_labels"), "padded", hits.alias("hits"))
+        .select("id", "n_words", "cuts", "base_labels", "padded", F.filter("hits", lambda words: F.size(words) >= least).alias("blocks"),
+                F.when(F.size("hits") > 1, wrapped).otherwise(F.array().cast("array<int>")).alias("wrapped"))
         .select("id", "n_words", F.coalesce(F.size("cuts") - 1, F.lit(0)).cast("bigint").alias("n_base"),
                 _spaces(F.get("cuts", F.lit(0))).cast("bigint").alias("first_word"),
                 (F.col("n_words") - _spaces(F.element_at("cuts", -1))).cast("bigint").alias("last_word"),
-                "base_labels", "blocks", F.monotonically_increasing_id().alias("row")))
-    matched = _join(scanned, sets, needed, vocabulary).groupBy("row").agg(
+                "base_labels", "blocks", "wrapped", F.when(F.size("wrapped") > 0, F.split(F.trim("padded"), " ")).alias("words"),
+                F.monotonically_increasing_id().alias("row")))
+    lengths = [len(_plain(text).split()) for _, text in templates]
+    matched = _join(scanned, sets, needed, vocabulary).union(_join_wrapped(scanned, sets, needed, lengths)).groupBy("row").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
-    return scanned.drop("blocks").join(matched, "row", "left").select(
+    return scanned.drop("blocks", "wrapped", "words").join(matched, "row", "left").select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels",
         F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
         F.when(F.size("base_labels") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"))
@@ -135,3 +147,29 @@ def _join(scanned: DataFrame, sets: list[tuple[str, list[str]]], needed: list[in
         .filter((F.size("shared") >= F.col("least")) & (F.get("shared", F.lit(0)) == F.col("word")))
         .select("row", "label", (F.size("shared") / F.col("template_size")).alias("containment"))
     )
+
+
+def _in_order(template: Column, words: Column) -> Column:
+    """How many words of the template, at most, stand among the words in the template's order (longest common subsequence)."""
+    def after(row: Column, word: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(template)), F.array(F.lit(0)), lambda made, j: F.concat(made, F.array(
+            F.when(F.get(template, j - 1) == word, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.get(made, j - 1))))))
+
+    return F.element_at(F.aggregate(words, F.array_repeat(F.lit(0), F.size(template) + 1), after), -1)
+
+
+def _join_wrapped(scanned: DataFrame, sets: list[tuple[str, list[str]]], needed: list[int], lengths: list[int]) -> DataFrame:
+    """Rows (row, label, containment) of the runs of words that hold enough of a template in order."""
+    templates = scanned.sparkSession.createDataFrame(
+        [(i, label, words, least, length) for i, ((label, words), least, length) in enumerate(zip(sets, needed, lengths)) if words],
+        "number int, label string, template array<string>, least int, length int")
+    run = lambda at: F.slice("words", at + 1, F.col("length"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda at: F.array_contains("template", F.get("words", at)) & (
+        F.size(F.array_intersect("template", run(at))) >= F.col("least")))
+    return (
+        scanned.select("row", "words", F.explode("wrapped").alias("number")).join(F.broadcast(templates), "number")
+        .select("row", "label", "template", "least", F.explode(F.transform(starts, run)).alias("run"))
+        .withColumn("shared", _in_order(F.col("template"), F.col("run")))
+        .filter(F.col("shared") >= F.col("least"))
+        .select("row", "label", (F.col("shared") / F.size("template")).alias("containment"))
+    )

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -95,6 +96,21 @@ def test_license_join_against_brute_force(spark, odd_docs, no_docs):
     assert license_join.scan_documents(no_docs).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    docs, wanted = [], []
+    for label, text in license_join.TEMPLATES:
+        for width in (20, 40, 75):
+            lines = textwrap.wrap("x " * 9 + text, width)
+            docs += [(len(docs), "\n".join(lines)), (len(docs) + 1, "intro\n" + "\n".join(" * " + line for line in lines) + "\nrest of it")]
+            wanted += [label] * 2
+    rows = {r["doc_id"]: r for r in license_join.scan_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(label in rows[n]["labels"] and rows[n]["score"] == 1 for n, label in enumerate(wanted))
+    mit = license_join.TEMPLATES[7][1].split()
+    apart = "\n".join(" ".join([w] + ["other"] * 9) for w in mit)  # all its words, but in no notice
+    backward = "\n".join(reversed(mit))
+    assert all(r["labels"] == [] for r in license_join.scan_documents(spark.createDataFrame([(1, apart), (2, backward)], "doc_id bigint, text string")).collect())
+
+
 def emails_by_hand(text):
     return [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
 
