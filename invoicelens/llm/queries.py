@@ -11,7 +11,7 @@ import corpus_pipeline
 
 from . import (
     additive_model, bin_packing, bpe_counts, bpe_transducer, jaccard_join, license_join, line_dedup, oracle, personal_data,
-    quality_rules, wu_manber,
+    pivot_search, quality_rules, spelling_variants, turn_repair, wu_manber,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,21 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.measure_documents(table(spark, folder, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.audit_conversations(turn_repair.damaged(table(spark, folder, "conversations")))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.count_words(table(spark, folder, "documents")))
+
+
+def op13_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
 def queries() -> dict[str, Query]:
     operators = (op1_byte_bpe, op2_line_dedup, op3_personal_data, op4_bin_packing, op5_license_scan, op6_token_counts,
-                 op7_additive_model, op8_decontamination, op9_jaccard_join, op10_quality_rules)
+                 op7_additive_model, op8_decontamination, op9_jaccard_join, op10_quality_rules, op11_turn_repair, op12_spelling_variants, op13_pivot_search)
     return {**{f.__name__: f for f in operators}, "pipeline": corpus_pipeline.run}
 
 
