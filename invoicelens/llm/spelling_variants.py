@@ -1,9 +1,11 @@
 """Words that differ by one letter, found through a reduced alphabet.
 
-Letters are hashed to a few symbols. Each word sends the full one-edit neighbourhood of its reduced form (itself, every
-deletion, replacement and insertion of a symbol), and meets the words whose reduced form is one of these; two words one edit
-apart always meet. The original strings are then compared. Reduced forms travel as 64-bit polynomial hashes, whose
-neighbours follow from prefix and suffix sums, so a word of L letters costs L times the number of symbols, whatever its length.
+Letters are hashed to a few symbols. Two words one edit apart have reduced forms that are equal or one edit apart as well, so
+each word sends the one-edit neighbourhood of its reduced form and meets the words whose reduced form is one of these; the
+original strings are then compared. Being one edit apart is mutual, so a word sends only the half of its neighbourhood that
+is not met from the other side: its own form, all deletions, and replacements by a later symbol. Reduced forms travel as
+64-bit polynomial hashes, whose neighbours follow from prefix and suffix sums, so a word of L letters costs L times the number
+of symbols, whatever its length. Words of up to ``SHORT`` letters go along with the hashes, longer ones are looked up.
 
 Defined results: a NULL or empty text has no words; a NULL id counts as an empty one in the checksum; repeated rows count
 again; no rows give no rows. Only the two named columns are read, so no further column can clash.
@@ -17,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from invoicelens.session import materialise
@@ -25,6 +28,8 @@ from .batches import ship_package, slices
 
 MIN_LETTERS, MIN_COUNT, FORM_RATIO = 6, 5, 5
 SYMBOLS = 8
+#: Words of more letters send a number in place of themselves.
+SHORT = 64
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: An odd number and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -80,62 +85,89 @@ def own_keys(rows: np.ndarray) -> np.ndarray:
 
 
 def neighbour_keys(rows: np.ndarray, symbols: int) -> np.ndarray:
-    """Keys of each row's reduced form and of all its one-edit neighbours, side by side."""
+    """Keys of each row's reduced form (first), its deletions and its replacements by a later symbol, side by side.
+
+    In place of replacements by an equal or earlier symbol stands the form itself once more.
+    """
     count, n = rows.shape
-    power = _powers(n + 1)
-    terms = rows * power[:n]
+    power = _powers(n)
+    terms = rows * power
     before = np.zeros((count, n + 1), np.uint64)
     np.cumsum(terms, axis=1, dtype=np.uint64, out=before[:, 1:])
     whole = before[:, -1:]
     after = whole - before
-    base, inverse = np.uint64(_BASE), np.uint64(_INVERSE)
-    out = [whole, before[:, :-1] + after[:, 1:] * inverse]
-    for symbol in range(1, symbols + 1):
-        other = np.uint64(symbol) * power
-        out.append(whole - terms + other[:n])
-        out.append(before + other + after * base)
+    out = [whole, before[:, :-1] + after[:, 1:] * np.uint64(_INVERSE)]
+    for symbol in range(2, symbols + 1):
+        out.append(np.where(rows < symbol, whole - terms + np.uint64(symbol) * power, whole))
     return np.concatenate(out, axis=1)
 
 
-def _keys(words: DataFrame, symbols: int, all_neighbours: bool) -> DataFrame:
-    """Rows (key, id): the key of each word's reduced form, or those of its whole neighbourhood."""
-    arrow = pa.schema([("key", pa.int64()), ("id", pa.int64())])
-    letters = (1 << 21) // (2 * symbols + 2)
+def _keys(words: DataFrame, symbols: int, neighbours: bool, carried: list[str]) -> DataFrame:
+    """The columns ``carried`` of ``words`` by the key of the word's reduced form, or by those of its neighbourhood.
+
+    ``own`` tells the key of the reduced form itself from the others.
+    """
+    types = dict(words.dtypes)
+    schema = f"key bigint, own boolean, {', '.join(f'{c} {types[c]}' for c in carried)}"
+    letters = (1 << 21) // (symbols + 2)
 
     def run(batches):
         for batch in batches:
-            by_length: dict[int, list] = {}
-            for word, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_length.setdefault(len(word), []).append((word, number))
-            for length, held in by_length.items():
-                step = max(1, letters // length)
-                for at in range(0, len(held), step):
-                    part = held[at:at + step]
-                    rows = reduced([w for w, _ in part], symbols)
-                    ids = np.array([i for _, i in part], np.int64)
-                    if not all_neighbours:
-                        yield pa.RecordBatch.from_arrays([pa.array(own_keys(rows).view(np.int64)), pa.array(ids)], schema=arrow)
-                        continue
-                    keys = np.sort(neighbour_keys(rows, symbols), axis=1)
+            sizes = pc.utf8_length(batch.column("word")).to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(sizes[order]) > 0])
+            for start, end in zip(starts, [*starts[1:], len(order)]):
+                step = max(1, letters // int(sizes[order[start]]))
+                for at in range(start, end, step):
+                    some = pa.array(order[at:min(at + step, end)])
+                    part = batch.take(some)
+                    rows = reduced(part.column("word").to_pylist(), symbols)
+                    keys = neighbour_keys(rows, symbols) if neighbours else own_keys(rows)[:, None]
+                    own = keys[:, :1].copy()
+                    keys.sort(axis=1)
                     new = np.ones(keys.shape, bool)
                     new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                    which = pa.array(np.repeat(np.arange(len(rows)), new.sum(axis=1)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[new].view(np.int64)), pa.array(np.repeat(ids, new.sum(axis=1)))], schema=arrow)
+                        [pa.array(keys[new].view(np.int64)), pa.array((keys == own)[new]), *part.select(carried).take(which).columns],
+                        names=["key", "own", *carried])
+
+    return words.mapInArrow(run, schema)
+
 
-    return words.select("word", "id").mapInArrow(run, "key bigint, id bigint")
+def _met(words: DataFrame, symbols: int) -> DataFrame:
+    """Pairs of rows of ``words`` whose reduced forms are equal or one edit apart, each pair once: columns a_* and b_*."""
+    sides = {}
+    for side in ("a", "b"):
+        keyed = _keys(words, symbols, side == "a", words.columns)
+        sides[side] = keyed.select("key", "own", *[F.col(c).alias(f"{side}_{c}") for c in words.columns])
+    order = F.struct(*[f"a_{c}" for c in words.columns]) < F.struct(*[f"b_{c}" for c in words.columns])
+    return sides["a"].join(sides["b"].drop("own"), "key").filter(~F.col("own") | order).drop("key", "own")
 
 
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """Rows (word, near, n_near_word): every word of ``words`` (word, n) with each word exactly one edit away, both ways."""
+    """Rows (word, near, near_n): every word of ``words`` (word, n) with each word exactly one edit away, both ways."""
     ship_package(words.sparkSession)
-    listed = materialise(words.withColumn("id", F.xxhash64("word")))
-    met = (_keys(listed, symbols, True).withColumnRenamed("id", "id_a")
-           .join(_keys(listed, symbols, False).withColumnRenamed("id", "id_b"), "key")
-           .filter("id_a != id_b").select("id_a", "id_b").distinct())
-    a = listed.select(F.col("id").alias("id_a"), "word")
-    b = listed.select(F.col("id").alias("id_b"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    apart = F.levenshtein("word", "near", 1) == 1
-    return met.join(a, "id_a").join(b, "id_b").filter(apart).select("word", "near", "near_n")
+    apart = F.levenshtein("a_word", "b_word", 1) == 1
+    size = F.length("word")
+    short = _met(words.filter(size <= SHORT), symbols).filter(apart)
+    long = words.filter(size >= SHORT).withColumn("id", F.xxhash64("word"))
+    keyed = _met_long(long, symbols).filter(apart & (F.greatest(F.length("a_word"), F.length("b_word")) > SHORT))
+    pairs = short.select("a_word", "a_n", "b_word", "b_n").unionByName(keyed.select("a_word", "a_n", "b_word", "b_n"))
+    ways = F.array(F.struct(F.col("a_word").alias("word"), F.col("b_word").alias("near"), F.col("b_n").alias("near_n")),
+                   F.struct(F.col("b_word").alias("word"), F.col("a_word").alias("near"), F.col("a_n").alias("near_n")))
+    return pairs.select(F.inline(ways))
+
+
+def _met_long(words: DataFrame, symbols: int) -> DataFrame:
+    """As ``_met`` for words (word, n, id), which travel as their numbers."""
+    def keyed(side: str) -> DataFrame:
+        return _keys(words.select("word", "id"), symbols, side == "a", ["id"]).select("key", "own", F.col("id").alias(f"{side}_id"))
+
+    met = keyed("a").join(keyed("b").drop("own"), "key").filter(~F.col("own") | (F.col("a_id") < F.col("b_id"))).drop("key", "own")
+    for side in ("a", "b"):
+        met = met.join(words.select(*[F.col(c).alias(f"{side}_{c}") for c in words.columns]), f"{side}_id")
+    return met
 
 
 def follow(forms: DataFrame) -> DataFrame:

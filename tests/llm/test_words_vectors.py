@@ -55,7 +55,8 @@ def test_variants_against_brute_force(spark):
 
 def test_chains_long_and_accented_words(spark):
     pick = random.Random(3)
-    counts = {"abcdef": 5, "abcdeg": 25, "abcdg": 125, "abbdg": 700, "abbég": 4000, "y" * 9000: 5, "y" * 9001: 60, "y" * 9002: 60}
+    counts = {"abcdef": 5, "abcdeg": 25, "abcdg": 125, "abbdg": 700, "abbég": 4000, "y" * 9000: 5, "y" * 9001: 60, "y" * 9002: 60,
+              "z" * 63: 5, "z" * 64: 30, "z" * 65: 6, "z" * 66: 7, "z" * 64 + "b": 9}
     for _ in range(600):
         word = "".join(pick.choice("abé") for _ in range(pick.randint(6, 9)))
         counts[word] = pick.choice([5, 7, 25, 26, 130])
@@ -79,12 +80,9 @@ def test_neighbour_keys_are_those_of_the_neighbours():
     pick = random.Random(4)
     for n in (1, 2, 6, 9):
         rows = np.array([[pick.randint(1, 3) for _ in range(n)]], np.uint64)
-        word, around = tuple(int(x) for x in rows[0]), set()
-        around.add(word)
-        for i in range(n + 1):
-            around |= {word[:i] + (s,) + word[i:] for s in (1, 2, 3)}
-            if i < n:
-                around |= {word[:i] + word[i + 1:]} | {word[:i] + (s,) + word[i + 1:] for s in (1, 2, 3)}
+        word = tuple(int(x) for x in rows[0])
+        around = {word} | {word[:i] + word[i + 1:] for i in range(n)}
+        around |= {word[:i] + (s,) + word[i + 1:] for i in range(n) for s in range(word[i] + 1, 4)}
         keys = {int(sv.own_keys(np.array([w], np.uint64).reshape(1, -1))[0]) for w in around}
         assert keys == {int(k) for k in sv.neighbour_keys(rows, 3).ravel()}
 
