@@ -159,6 +159,17 @@ def _headed(spark: SparkSession, folder: str) -> DataFrame:
     return book.headed_rows(samples.headed_workbook(spark, folder))
 
 
+def _headed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The headed workbook again, read from files of two kinds: some have their columns the other way round and one more."""
+    raw = samples.headed_workbook(spark, folder).drop(book.ORDER)
+    place = f"{shared_folder(spark)}/headed-{uuid.uuid4().hex}"
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "NULL"}
+    late = F.coalesce(F.col("Fecha") >= LOADED_BEFORE, F.lit(False))
+    raw.filter(~late).write.csv(f"{place}/a", **plain)
+    raw.filter(late).select(F.lit("x, y").alias("otra"), *reversed(raw.columns)).write.csv(f"{place}/b", **plain)
+    return book.headed_rows(book.read_headed_workbook(spark, [f"{place}/a", f"{place}/b"], null_text="NULL")).drop(book.ORDER)
+
+
 def _stored_sales(spark: SparkSession, folder: str) -> DataFrame:
     return samples.stored_before(samples.sales_fact(spark, folder), LOADED_BEFORE)
 
@@ -226,15 +237,20 @@ def _created(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sink(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors after a second run that replaces half of the keys and adds as many."""
+    """Vectors after a second run that replaces half of the keys and adds as many: one row per component."""
     stored = table_vectors(spark, folder)
     moved = stored.select(
         F.reverse("vector").alias("vector"),
         F.struct("metadata.text", "metadata.source", (F.col("metadata.chunkIndex") + 250).alias("chunkIndex")).alias("metadata"),
     )
     merged = vector_store.upsert_vectors(stored, moved)
-    return merged.select("metadata.source", "metadata.chunkIndex", "metadata.text",
-                         F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("primero"))
+    return _components(merged)
+
+
+def _components(stored: DataFrame) -> DataFrame:
+    """One row per component of each vector; a chunk without a vector keeps one row."""
+    rows = stored.select("metadata.source", "metadata.chunkIndex", "metadata.text", F.posexplode_outer("vector").alias("lugar", "valor"))
+    return rows.withColumn("valor", F.round(F.col("valor").cast("double"), 6))
 
 
 def table_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,6 +264,7 @@ def table_vectors(spark: SparkSession, folder: str) -> DataFrame:
 LOADS: dict[str, Query] = {
     "i01_carga_posicional": lambda s, f: _rows(s, f).drop(book.ORDER, "motivo_rechazo"),
     "i02_carga_por_encabezado": lambda s, f: _headed(s, f).drop(book.ORDER),
+    "i02_encabezado_por_archivo": _headed_files,
     "i03_filas_rechazadas": lambda s, f: loads.rejected(_rows(s, f)).groupBy("motivo_rechazo").agg(F.count(F.lit(1)).alias("filas")),
     "i03_filas_aceptadas": lambda s, f: loads.accepted(_rows(s, f)).select("idunica", "comprobante", "articulo"),
     "i04_insertar_o_ignorar": _new_sales,
@@ -309,9 +326,11 @@ def _paired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _paired_flat(spark: SparkSession, folder: str) -> DataFrame:
-    at = [F.round(F.get("vector", F.lit(i - 1)).cast("double"), 6).alias(f"v{i}") for i in (1, 2, 32, 64)]
-    return _paired(spark, folder).select("metadata.source", "metadata.chunkIndex", "metadata.text", *at,
-                                         F.size("vector").cast("bigint").alias("dimension"))
+    return _components(_paired(spark, folder)).drop("text")
+
+
+def _paired_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return _paired(spark, folder).select("metadata.source", "metadata.chunkIndex", "metadata.text", F.size("vector").cast("bigint").alias("dimension"))
 
 
 def _vector_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -332,7 +351,8 @@ DOCUMENTS: dict[str, Query] = {
     "v1_fragmentos": _chunks,
     "v2_coseno_top_k": _nearest,
     "v3_sin_nul": _clean,
-    "v4_fragmentos_con_vector": _paired_flat,
+    "v4_fragmentos_con_vector": _paired_texts,
+    "v4_componentes": _paired_flat,
     "a8_busqueda_semantica": _vector_query,
     "e1_puntaje": _scores,
     "e2_resumen": lambda s, f: evaluation.run_summary(_scores(s, f).withColumn("succeeded", F.col("score") == 1)),

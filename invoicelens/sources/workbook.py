@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from invoicelens.functions import convert
 from invoicelens.schema import (
     DATE_COLUMNS, HEADER_COLUMNS, INT_COLUMNS, MONEY_COLUMNS, WORKBOOK_COLUMNS, workbook_schema,
 )
+from invoicelens.session import materialise
 
 ORDER = "orden_archivo"
 
@@ -22,9 +25,31 @@ def read_workbook(spark: SparkSession, path: str, header: bool = True, separator
     return rows.select("*", _file_position())
 
 
-def read_headed_workbook(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """Text cells of delimited files by header name."""
-    return spark.read.csv(path, header=True, sep=separator, inferSchema=False).select("*", _file_position())
+def read_headed_workbook(spark: SparkSession, path: str | list[str], separator: str = ",", null_text: str = "") -> DataFrame:
+    """Text cells of delimited files under the known header names, each file by its own first line.
+
+    Files may order their columns as they like, lack some and have others; of equal names the first counts. Cells of a name
+    that a file lacks are NULL, and so are cells of ``null_text``. Lines equal to the file's header are no rows. The header lines are gathered in a pass of their
+    own and joined to the rows by file.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), _file_position())
+    heads = materialise(
+        lines.filter((F.col(f"{ORDER}.block") == 0) & (F.col("line") != ""))
+        .groupBy(F.col(f"{ORDER}.file").alias("file")).agg(F.min_by("line", f"{ORDER}.row").alias("head")))
+    widest = heads.agg(F.max(F.size(F.split("head", re.escape(separator), -1)))).first()[0] or 1
+    cells = ", ".join(f"c{i} string" for i in range(widest))
+    options = {"sep": separator, "quote": '"', "escape": '"', "nullValue": null_text}
+
+    def cut(line: str) -> Column:
+        # Within a function over one value, so that a line is parsed once and not once per cell.
+        read = F.array(F.from_csv(F.col(line), cells, options))
+        return F.get(F.transform(read, lambda row: F.array(*[row[f"c{i}"] for i in range(widest)])), F.lit(0))
+
+    names = F.transform(cut("head"), lambda name: F.trim(name))
+    places = heads.select("file", "head", *[F.array_position(names, h).cast("int").alias(f"at_{h}") for h in HEADER_COLUMNS])
+    rows = lines.filter(F.col("line") != "").join(places, F.col(f"{ORDER}.file") == F.col("file")).filter(F.col("line") != F.col("head"))
+    read = rows.withColumn("cells", cut("line"))
+    return read.select(*[F.get("cells", F.col(f"at_{h}") - 1).alias(h) for h in HEADER_COLUMNS], ORDER)
 
 
 def _file_position() -> Column:

@@ -203,6 +203,7 @@ k AS (SELECT * FROM z WHERE rn = 1 AND (earlier OR NOT EXISTS (SELECT 1 FROM z o
 STATEMENTS = {
     "i01_carga_posicional": over_typed(f"SELECT {', '.join(WORKBOOK_COLUMNS)} FROM t"),
     "i02_carga_por_encabezado": over_headed(f"SELECT * {KEYS_OUT} FROM h"),
+    "i02_encabezado_por_archivo": over_headed(f"SELECT * {KEYS_OUT} FROM h"),
     "i03_filas_rechazadas": over_typed("SELECT motivo_rechazo, COUNT(*) AS filas FROM t WHERE motivo_rechazo IS NOT NULL GROUP BY 1"),
     "i03_filas_aceptadas": over_typed("SELECT idunica, comprobante, articulo FROM t WHERE motivo_rechazo IS NULL"),
     "i04_insertar_o_ignorar": over_typed(NEW_SALES),
@@ -231,9 +232,10 @@ FROM (SELECT (SELECT COUNT(*) FROM t) AS a, (SELECT COUNT(*) FROM t WHERE motivo
  (SELECT COUNT(*) FROM z WHERE NOT earlier) - (SELECT COUNT(*) FROM k WHERE NOT earlier) AS "skippedRows", 0 AS "failedChunks\"""", STAR),
     "i14_tabla_por_mes": over_fact("SELECT strftime(fecha, '%Y-%m') AS mes_particion, COUNT(*) AS filas, SUM(importe) AS importe FROM v GROUP BY 1"),
     "i15_lectura": over_fact("SELECT * FROM v"),
-    "i16_destino_vectores": """SELECT 'v' AS source, CAST(vec_id AS INTEGER) AS "chunkIndex", '' AS text, ROUND(CAST(embedding[1] AS DOUBLE), 6) AS primero
-FROM embeddings WHERE vec_id NOT IN (SELECT vec_id + 250 FROM embeddings)
-UNION ALL SELECT 'v', CAST(vec_id + 250 AS INTEGER), '', ROUND(CAST(embedding[len(embedding)] AS DOUBLE), 6) FROM embeddings""",
+    "i16_destino_vectores": """SELECT 'v' AS source, CAST(key AS INTEGER) AS "chunkIndex", '' AS text, lugar, ROUND(CAST(valor AS DOUBLE), 6) AS valor FROM (
+ SELECT vec_id AS key, CAST(UNNEST(range(len(embedding))) AS INTEGER) AS lugar, UNNEST(embedding) AS valor
+ FROM embeddings WHERE vec_id NOT IN (SELECT vec_id + 250 FROM embeddings)
+ UNION ALL SELECT vec_id + 250, CAST(UNNEST(range(len(embedding))) AS INTEGER), UNNEST(list_reverse(embedding)) FROM embeddings) c""",
     "q1_conciliacion": over_typed(RECONCILE),
     "q2_sin_idunica": over_workbook(f"""SELECT COUNT(*) AS filas, COUNT(*) FILTER (WHERE {MISSING}) AS sin_idunica,
  COUNT(*) - COUNT(*) FILTER (WHERE {MISSING}) AS con_idunica FROM w"""),
@@ -246,8 +248,9 @@ ORDER BY {FILE_ORDER} LIMIT 5"""),
  SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
   CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])) AS s FROM embeddings) e ORDER BY s DESC, vec_id LIMIT 10""",
     "v1_fragmentos": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunk",
-    "v4_fragmentos_con_vector": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", text,
- {', '.join(f'ROUND(CAST(embedding[{i}] AS DOUBLE), 6) AS v{i}' for i in (1, 2, 32, 64))}, len(embedding) AS dimension FROM paired""",
+    "v4_fragmentos_con_vector": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", text, len(embedding) AS dimension FROM paired""",
+    "v4_componentes": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", lugar, ROUND(CAST(valor AS DOUBLE), 6) AS valor FROM (
+ SELECT source, "chunkIndex", CAST(UNNEST(range(len(embedding))) AS INTEGER) AS lugar, UNNEST(embedding) AS valor FROM paired) c""",
     "a8_busqueda_semantica": f"""WITH RECURSIVE {PAIRED} SELECT text, source, "chunkIndex", ROUND(s, 6) AS score FROM (
  SELECT *, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
   CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])) AS s FROM paired) p ORDER BY s DESC, source, "chunkIndex" LIMIT 10""",

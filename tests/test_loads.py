@@ -89,6 +89,18 @@ def test_headed_rows(spark, tmp_path):
     assert only["linea"] is None and only["motivodev"] is None and only["descuento"] == 0
 
 
+def test_headers_of_each_file(spark, tmp_path):
+    cells = {"Comprobante": "F1", "Cliente": "7", "Importe": "20", "otra": 'x "y", z'}
+    write_csv(tmp_path / "in" / "a.csv", [cells], ["Comprobante", "Cliente", "Importe"])
+    write_csv(tmp_path / "in" / "b.csv", [{**cells, "Comprobante": "F2"}] * 2, ["otra", "Importe", "Comprobante", " Cliente "])
+    (tmp_path / "in" / "b.csv").write_text((tmp_path / "in" / "b.csv").read_text().replace('z",20,F2,', 'z",20,F2,7'))
+    (tmp_path / "in" / "c.csv").write_text("\ufeffCliente,Comprobante,Cliente\n7,F3,9\n\n")
+    (tmp_path / "in" / "d.csv").write_text("")
+    rows = book.headed_rows(book.read_headed_workbook(spark, str(tmp_path / "in"))).collect()
+    got = sorted((r["Comprobante"], r["Cliente"], r["Importe"]) for r in rows)
+    assert got == [("F1", 7, D(20)), ("F2", 7, D(20)), ("F2", 7, D(20)), ("F3", 7, D(0))]
+
+
 def test_dimension_upserts(spark):
     old = spark.createDataFrame([(1, "uno", "calle", "x", "s", dt.datetime(2020, 1, 1)), (2, "dos", None, None, None, dt.datetime(2020, 1, 1))],
                                 "cliente_id int, razon_social string, direccion string, subcanal string, segmento string, updated_at timestamp_ntz")
