@@ -117,6 +117,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM doc LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
 
 
+def pivot_search() -> str:
+    return """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x) FOR x IN CAST(embedding AS DOUBLE[])] AS whole
+    FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.whole, c.whole) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
 def all_sql() -> dict[str, str]:
     return {"op5_license_scan": license_scan(), "op8_decontamination": decontamination(), "op9_jaccard_join": jaccard_join(),
-            "op10_quality_rules": quality_rules()}
+            "op10_quality_rules": quality_rules(), "op13_pivot_search": pivot_search()}

@@ -32,6 +32,15 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     assert {r["doc_id"] for r in stages["byte_bpe"](spark, one.filter(one["doc_id"].isin(list(clean))), FOLDER).collect()} == clean
 
 
+def test_line_stage_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+    import corpus_pipeline as pipeline
+    docs = spark.createDataFrame([(1, "a b c\nx", 5), (2, "a b c", 5)], "doc_id bigint, text string, removed_lines int")
+    kept = dict(pipeline.STAGES)["line_dedup"](spark, docs.withColumn("n_chars", F.length("text")), FOLDER)
+    assert kept.columns == ["doc_id", "text", "removed_lines", "n_chars"]
+    assert [tuple(r) for r in kept.collect()] == [(1, "a b c\nx", 5, 7)]
+
+
 def test_pipeline_runs_from_end_to_end(spark):
     rows = llm.queries()["pipeline"](spark, FOLDER).collect()
     assert rows and all(r["n_tokens"] > 0 for r in rows)
