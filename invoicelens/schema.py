@@ -33,6 +33,8 @@ HEADER_COLUMNS = (
 )
 
 FACT_KEY = ("comprobante", "articulo")
+# The load that brought a stored row.
+LOAD = "carga"
 
 
 def fact_type(column: str) -> T.DataType:

@@ -5,18 +5,22 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from invoicelens.functions.text import document_type
-from invoicelens.plans.joins import absent_from, first_per_key, insert_or_ignore
-from invoicelens.schema import FACT_KEY, WORKBOOK_COLUMNS
-from invoicelens.session import materialise
+from invoicelens.plans.joins import absent_from, any_null, first_per_key, insert_or_ignore
+from invoicelens.schema import FACT_KEY, LOAD, WORKBOOK_COLUMNS
+from invoicelens.session import discard, materialise
 from invoicelens.sources import store
 from invoicelens.sources.workbook import ORDER, accepted, positional_rows, rejected
 
 INVOICE_KEY = ("comprobante", "art_id")
 
 
+REPORT = ("totalRows bigint, insertedRows bigint, skippedRows bigint, rejectedRows bigint, failedChunks int, "
+          "durationMs bigint")
+
+
 # Sales fact
 
 def new_sales(rows: DataFrame, stored: DataFrame, order: str = ORDER) -> DataFrame:
@@ -24,19 +28,43 @@ def new_sales(rows: DataFrame, stored: DataFrame, order: str = ORDER) -> DataFra
     return insert_or_ignore(accepted(rows), stored, FACT_KEY, [order]).select(*WORKBOOK_COLUMNS)
 
 
-def load_sales(raw: DataFrame, path: str) -> DataFrame:
+def materialise_counted(rows: DataFrame, **also: Column) -> tuple:
+    """``rows`` as a table in the shared folder, their number, a hash of their content, and the aggregates in ``also``.
+
+    All come from the one job that writes the table. The hash covers every column but the place in the file, and is the same
+    for the same rows in any order.
+    """
+    cells = [c for c in rows.columns if c != ORDER]
+    seen = Observation()
+    digest = F.sum(F.xxhash64(*cells).cast("decimal(38,0)")).alias("content")
+    table = materialise(rows.observe(seen, F.count(F.lit(1)).alias("n"), digest, *[c.alias(name) for name, c in also.items()]))
+    found = seen.get
+    return table, found["n"], f"{found['n']}-{found['content'] or 0}", *[found[name] for name in also]
+
+
+def load_sales(raw: DataFrame, path: str, load_id: str | None = None) -> DataFrame:
     """Load workbook rows into the fact at ``path``; returns the one-row load report.
 
-    The batch is converted once and written to the shared folder, which also tells Catalyst its
-    size for the lookup of stored keys. The rows to add are written there too, so that the
-    append and the report do not depend on the table that changes.
+    The input is read once: typed rows are written to the shared folder, and the counts of the report come from that write
+    and from the write of the rows to add. Rows with a NULL key part never conflict with another load's, but a load that is
+    run again adds only those that its earlier attempt has not: equal rows are matched one to one within the load.
+    ``load_id`` names the load; without it a hash of the rows does.
     """
     started = time.monotonic()
-    rows = positional_rows(raw)
+    refused = F.count(F.col("motivo_rechazo"))
+    rows, total, content, rejections = materialise_counted(positional_rows(raw), refused=refused)
+    load_id = load_id or content
     batch = materialise(first_per_key(accepted(rows), FACT_KEY, [ORDER]).select(*WORKBOOK_COLUMNS))
-    fresh = materialise(absent_from(batch, store.read_fact(raw.sparkSession, path), FACT_KEY))
-    store.append_fact(fresh, path)
-    return load_report(rows, fresh, started)
+    stored = store.read_fact(raw.sparkSession, path)
+    unkeyed = any_null(FACT_KEY)
+    own = stored.filter((F.col(LOAD) == load_id) & unkeyed).select(*WORKBOOK_COLUMNS)
+    named = absent_from(batch.filter(~unkeyed), stored, FACT_KEY)
+    fresh, added, _ = materialise_counted(named.unionByName(batch.filter(unkeyed).exceptAll(own)))
+    store.append_fact(fresh.withColumn(LOAD, F.lit(load_id)), path)
+    for table in (rows, batch, fresh):
+        discard(table)
+    report = (total, added, total - rejections - added, rejections, 0, int((time.monotonic() - started) * 1000))
+    return raw.sparkSession.createDataFrame([report], REPORT)
 
 
 def load_report(rows: DataFrame, inserted: DataFrame, started: float | None = None) -> DataFrame:
@@ -151,6 +179,6 @@ def new_invoices(rows: DataFrame, stored: DataFrame, order: str = ORDER) -> Data
 
 
 __all__ = [
-    "DIMENSION_CELLS", "accepted", "dimension_rows", "invoice_rows", "load_report", "load_sales",
-    "new_invoices", "new_sales", "rejected", "upsert_dimension",
+    "DIMENSION_CELLS", "LOAD", "accepted", "dimension_rows", "invoice_rows", "load_report", "load_sales",
+    "materialise_counted", "new_invoices", "new_sales", "rejected", "upsert_dimension",
 ]

@@ -24,9 +24,10 @@ def load_new_files(spark: SparkSession, folder: str, fact_path: str, progress: s
         ).alias("_file"))
     )
 
-    def load(batch: DataFrame, _batch_id: int) -> None:
+    def load(batch: DataFrame, batch_id: int) -> None:
+        # A batch that is run again has the same number, so it adds nothing twice.
         place = F.struct("_file.file", "_file.block", F.monotonically_increasing_id().alias("row"))
-        load_sales(batch.withColumn(ORDER, place).drop("_file"), fact_path)
+        load_sales(batch.withColumn(ORDER, place).drop("_file"), fact_path, f"{progress}#{batch_id}")
 
     return (
         rows.writeStream.foreachBatch(load)

@@ -207,6 +207,8 @@ STATEMENTS = {
     "i03_filas_rechazadas": over_typed("SELECT motivo_rechazo, COUNT(*) AS filas FROM t WHERE motivo_rechazo IS NOT NULL GROUP BY 1"),
     "i03_filas_aceptadas": over_typed("SELECT idunica, comprobante, articulo FROM t WHERE motivo_rechazo IS NULL"),
     "i04_insertar_o_ignorar": over_typed(NEW_SALES),
+    "i04_carga_repetida": over_typed(f"""SELECT comprobante, articulo, idunica, fecha, importe FROM v WHERE fecha < DATE '2000-01-01'
+UNION ALL SELECT comprobante, articulo, idunica, fecha, importe FROM ({NEW_SALES}) x"""),
     "i05_agregar_todo": over_workbook(f"SELECT {', '.join(_typed(c, True) for c in WORKBOOK_COLUMNS)} FROM w"),
     "i06_filas_dim_cliente": over_headed(_dimension("dim_cliente")),
     "i06_filas_dim_articulo": over_headed(_dimension("dim_articulo")),
