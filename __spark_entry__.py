@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from invoicelens import run_indicator  # noqa: E402
 from invoicelens.functions import calendar, convert, metrics, text  # noqa: E402
-from invoicelens.operators import audit, evaluation, tools_earlier as earlier, tools_live as live, vectors  # noqa: E402
+from invoicelens.operators import audit, evaluation, tools_earlier as earlier, tools_live as live, vector_index, vectors  # noqa: E402
 from invoicelens.plans.params import between_days, top  # noqa: E402
 from invoicelens.schema import WORKBOOK_COLUMNS  # noqa: E402
 from invoicelens.session import shared_folder  # noqa: E402
@@ -356,6 +356,16 @@ def _nearest(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def _many_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten closest vectors of every vector whose id is divisible by 100, exactly, through a stored index."""
+    rows = samples.table(spark, folder, "embeddings")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.write_index(rows, path, vector_index.fit_centres(rows, ["vec_id"], 16))
+    queries = rows.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_index.search_index(spark, path, queries, "query_id", ["vec_id"])
+    return found.withColumn("score", F.round("score", 6))
+
+
 def _paired(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _chunks(spark, folder)
     return vectors.pair_with_vectors(chunks, samples.chunk_vectors(chunks, folder))
@@ -386,6 +396,7 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
 DOCUMENTS: dict[str, Query] = {
     "v1_fragmentos": _chunks,
     "v2_coseno_top_k": _nearest,
+    "v2_consultas_top_k": _many_nearest,
     "v3_sin_nul": _clean,
     "v4_fragmentos_con_vector": _paired_texts,
     "v4_componentes": _paired_flat,

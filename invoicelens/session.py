@@ -60,11 +60,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, which may be a remote one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and nothing reads any more."""
     folder = shared_folder(table.sparkSession)
-    jvm = table.sparkSession.sparkContext._jvm
     for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
         if path.rpartition("/")[2].startswith("invoicelens-") and path.rpartition("/")[0].rpartition(":")[2].lstrip("/") == folder.rpartition(":")[2].lstrip("/"):
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            place, files = _place(table.sparkSession, path)
+            files.delete(place, True)

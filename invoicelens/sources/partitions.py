@@ -8,21 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from invoicelens.session import exists
+
 BUCKET = "cubo"
 
 
 def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table at ``path``; no rows where nothing was ever written."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def replace_partitions(rows: DataFrame, path: str, partitions: Sequence[str]) -> None:

@@ -249,6 +249,10 @@ ORDER BY {FILE_ORDER} LIMIT 5"""),
     "v2_coseno_top_k": """SELECT vec_id, label, ROUND(s, 6) AS score FROM (
  SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
   CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])) AS s FROM embeddings) e ORDER BY s DESC, vec_id LIMIT 10""",
+    "v2_consultas_top_k": """SELECT query_id, rank, vec_id, ROUND(s, 6) AS score FROM (
+ SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, ROUND(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) p) r WHERE rank <= 10""",
     "v1_fragmentos": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunk",
     "v4_fragmentos_con_vector": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", text, len(embedding) AS dimension FROM paired""",
     "v4_componentes": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", lugar, ROUND(CAST(valor AS DOUBLE), 6) AS valor FROM (
