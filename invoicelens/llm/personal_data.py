@@ -209,9 +209,16 @@ def fit(x: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, s
 
 
 def train(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS) -> SkipChainField:
-    """Fits the field to the base spans of at most ``train_docs`` texts and ``train_tokens`` tokens."""
+    """Fits the field to the base spans of at most ``train_docs`` different texts and ``train_tokens`` tokens.
+
+    The texts with the smallest hashes are taken, in that order, wherever they lie. A threshold on the hash, from the number
+    of different texts, keeps those that are sorted few.
+    """
     text = docs.select(docs[text_col].alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    chosen = text.select(F.xxhash64("text").alias("id"), "text").filter(F.pmod("id", F.lit(16)) == 0).limit(train_docs)
+    hashed = text.select(F.pmod(F.xxhash64("text"), F.lit(1 << 60)).alias("id"), "text")
+    kinds = hashed.agg(F.approx_count_distinct("id")).first()[0]
+    few = hashed.filter(F.col("id") <= int((1 << 60) * min(1.0, 1.3 * train_docs / max(kinds, 1))))
+    chosen = few.groupBy("id").agg(F.min("text").alias("text")).orderBy("id").limit(train_docs)
 
     def per_slice(texts: list[str]) -> dict[str, list]:
         made: dict[str, list] = {"label": [], "x": [], "chain": [], "skip": []}
@@ -227,7 +234,7 @@ def train(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS,
     rows = map_texts(chosen, "id", "text", "label array<int>, x array<array<double>>, chain array<array<int>>, skip array<array<int>>",
                      per_slice)
     x, label, chain, skip = [], [], [], []
-    for row in rows.toLocalIterator():
+    for row in rows.orderBy("id").toLocalIterator():
         if len(label) + len(row["label"]) > train_tokens:
             continue
         x += row["x"]

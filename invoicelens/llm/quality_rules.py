@@ -11,6 +11,7 @@ table; ties in the order go to the rule listed first. Whole texts are read, what
 from __future__ import annotations
 
 import time
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -78,7 +79,15 @@ class Measured:
 
     @cached_property
     def n_upper(self) -> int:
-        return sum(map(str.isupper, self.text.split()))
+        return sum(map(capital, self.words))
+
+
+def capital(word: bytes) -> bool:
+    """Whether a word has an upper-case letter and no lower-case one, by Unicode's general categories."""
+    if word.isascii():
+        return word.isupper()
+    kinds = set(map(unicodedata.category, word.decode("utf-8", "surrogatepass")))
+    return "Lu" in kinds and "Ll" not in kinds
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
