@@ -21,15 +21,21 @@ CENTRE = "centro"
 DECIMALS = 9
 
 
-def _directions(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the vectors that have a direction, and those as rows of length 1."""
-    wide = [i for i, v in enumerate(vectors) if v is not None and len(v) > 0]
-    if not wide:
-        return np.array([], dtype=int), np.zeros((0, 0))
-    matrix = np.array([vectors.iloc[i] for i in wide], dtype=np.float64)
-    length = np.sqrt((matrix * matrix).sum(axis=1))
-    good = np.isfinite(length) & (length > 0)
-    return np.array(wide)[good], matrix[good] / length[good, None]
+def _direction_finder():
+    """A function from vectors to the places of those that have a direction, and these as rows of length 1.
+
+    It is made anew, so that tasks get it with the functions that use it and need not import this package.
+    """
+    def directions(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        wide = [i for i, v in enumerate(vectors) if v is not None and len(v) > 0]
+        if not wide:
+            return np.array([], dtype=int), np.zeros((0, 0))
+        matrix = np.array([vectors.iloc[i] for i in wide], dtype=np.float64)
+        length = np.sqrt((matrix * matrix).sum(axis=1))
+        good = np.isfinite(length) & (length > 0)
+        return np.array(wide)[good], matrix[good] / length[good, None]
+
+    return directions
 
 
 def fit_centres(vectors: DataFrame, keys: Sequence[str], count: int = 64, embedding: str = "embedding",
@@ -44,7 +50,7 @@ def fit_centres(vectors: DataFrame, keys: Sequence[str], count: int = 64, embedd
     place = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
     part = min(1.0, 1.2 * sample / max(vectors.count(), 1))
     chosen = vectors.select(place.alias("at"), *keys, embedding).filter(F.col("at") <= int(part * (1 << 40)))
-    _, points = _directions(chosen.orderBy("at", *keys, embedding).limit(sample).select(embedding).toPandas()[embedding])
+    _, points = _direction_finder()(chosen.orderBy("at", *keys, embedding).limit(sample).select(embedding).toPandas()[embedding])
     if len(points) == 0:
         return np.zeros((0, 0))
     first = np.sort(np.unique(points, axis=0, return_index=True)[1])[:count]
@@ -60,10 +66,12 @@ def fit_centres(vectors: DataFrame, keys: Sequence[str], count: int = 64, embedd
 
 def closest_centres(centres: np.ndarray, probes: int = 1):
     """A pandas UDF from vectors to the numbers of their closest centres; none for a vector without direction."""
+    directions = _direction_finder()
+
     @F.pandas_udf("array<int>")
     def closest(vectors: pd.Series) -> pd.Series:
         found: list = [[] for _ in range(len(vectors))]
-        places, rows = _directions(vectors)
+        places, rows = directions(vectors)
         if len(places) and len(centres):
             order = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :probes]
             for place, numbers in zip(places, order.tolist()):
@@ -162,10 +170,12 @@ def _of_centre(blocks: dict[int, int]) -> Column:
 
 
 def _best_of_block(keys: list[str], embedding: str, top_k: int):
+    directions = _direction_finder()
+
     def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(keys, kind="stable", ignore_index=True)
-        at_row, matrix = _directions(rows[embedding])
-        at_query, wanted = _directions(asked["_wanted"])
+        at_row, matrix = directions(rows[embedding])
+        at_query, wanted = directions(asked["_wanted"])
         picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for start in range(0, len(at_query) if len(at_row) else 0, SLICE):
             scores = np.round(wanted[start:start + SLICE] @ matrix.T, DECIMALS)
