@@ -87,3 +87,11 @@ def test_weekday(spark):
     sunday = dt.date(2024, 3, 3)
     assert one(spark, sunday, calendar.weekday_number, "date") == 0
     assert one(spark, sunday, calendar.weekday_name, "date") == "Sunday   "
+
+
+@pytest.mark.parametrize("convert_cell", [
+    convert.to_text, convert.to_day, convert.strict_integer, convert.strict_number, convert.whole_number, convert.leading_money])
+def test_a_cell_is_read_once(spark, convert_cell):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("c")).select(convert_cell(F.col("c")).alias("x"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_replace(") + text.count("regexp_extract(") == 1
