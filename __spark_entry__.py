@@ -26,6 +26,7 @@ PERIOD = {"fechaInicio": "2000-01-01", "fechaFin": "2001-06-30"}
 LAST_MONTHS = {"fechaInicio": "2001-07-01", "fechaFin": "2001-08-01"}
 START, END = "2000-01-01", "2001-06-30"
 LOADED_BEFORE = "2000-01-01"
+DIMENSION = 64  # of the given vectors
 
 # Registered calls of the indicators: key -> (name, parameters).
 INDICATORS: dict[str, tuple[str, dict]] = {
@@ -376,7 +377,10 @@ def _paired_flat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _paired_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return _paired(spark, folder).select("metadata.source", "metadata.chunkIndex", "metadata.text", F.size("vector").cast("bigint").alias("dimension"))
+    """Each chunk with its whole vector, a column per component."""
+    at = [F.round(F.get("vector", F.lit(i)).cast("double"), 6).alias(f"v{i + 1}") for i in range(DIMENSION)]
+    return _paired(spark, folder).select(
+        "metadata.source", "metadata.chunkIndex", "metadata.text", *at, F.size("vector").cast("bigint").alias("dimension"))
 
 
 def _vector_query(spark: SparkSession, folder: str) -> DataFrame:

@@ -254,7 +254,8 @@ ORDER BY {FILE_ORDER} LIMIT 5"""),
   SELECT q.vec_id AS query_id, e.vec_id, ROUND(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s
   FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) p) r WHERE rank <= 10""",
     "v1_fragmentos": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunk",
-    "v4_fragmentos_con_vector": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", text, len(embedding) AS dimension FROM paired""",
+    "v4_fragmentos_con_vector": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", text,
+ {', '.join(f'ROUND(CAST(embedding[{i}] AS DOUBLE), 6) AS v{i}' for i in range(1, 65))}, len(embedding) AS dimension FROM paired""",
     "v4_componentes": f"""WITH RECURSIVE {PAIRED} SELECT source, "chunkIndex", lugar, ROUND(CAST(valor AS DOUBLE), 6) AS valor FROM (
  SELECT source, "chunkIndex", CAST(UNNEST(range(len(embedding))) AS INTEGER) AS lugar, UNNEST(embedding) AS valor FROM paired) c""",
     "a8_busqueda_semantica": f"""WITH RECURSIVE {PAIRED} SELECT text, source, "chunkIndex", ROUND(s, 6) AS score FROM (

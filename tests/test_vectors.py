@@ -107,3 +107,8 @@ def test_a_chunk_without_a_vector_stays(spark):
     paired = vectors.pair_with_vectors(chunks, stored)
     assert paired.count() == 2
     assert [tuple(r) for r in vectors.without_vector(paired).collect()] == [("x", "a", 0)]
+
+
+def test_chunks_are_registered_with_their_whole_vectors(spark, driver_entry):
+    frame = driver_entry.queries()["v4_fragmentos_con_vector"](spark, "/root/testdata/sf0.001")
+    assert {f"v{i}" for i in range(1, 65)} < set(frame.columns)
