@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from invoicelens.functions.calendar import month_label
-from invoicelens.plans.joins import absent_from, first_per_key
+from invoicelens.plans.joins import first_absent
 from invoicelens.plans.params import MONTH
 from invoicelens.session import discard, materialise
 from invoicelens.sources.loads import (
@@ -78,14 +78,13 @@ def load_star(raw: DataFrame, folder: str, now: Column | None = None, load_id: s
         load_dimension(rows, folder, name, moment)
 
     stored = _stored_invoices(spark, folder, rows)
-    batch = materialise(first_per_key(invoice_rows(rows), INVOICE_KEY, [ORDER]).drop(ORDER))
     others, own = stored.filter(F.col(LOAD) != load_id), stored.filter(F.col(LOAD) == load_id)
-    lines, kept, _ = materialise_counted(absent_from(batch, others, INVOICE_KEY))
+    lines, kept, _ = materialise_counted(first_absent(invoice_rows(rows), others, INVOICE_KEY, [ORDER]).drop(ORDER))
     # Lines that an earlier attempt of this load has left are written again, but not reported as new.
     before = own.select(*INVOICE_KEY).join(lines.select(*INVOICE_KEY), list(INVOICE_KEY), "left_semi").count()
     placed = lines.withColumn(MONTH, month_label(F.col("fecha_entrega"))).withColumn(LOAD, F.lit(load_id))
     replace_partitions(placed, f"{folder}/{INVOICES}", [MONTH, LOAD])
-    for table in (rows, batch, lines):
+    for table in (rows, lines):
         discard(table)
     report = (total, kept - before, total - kept + before, 0, int((time.monotonic() - started) * 1000))
     return spark.createDataFrame([report], "totalRows bigint, insertedRows bigint, skippedRows bigint, failedChunks int, durationMs bigint")

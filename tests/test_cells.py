@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from invoicelens.functions import convert
+from invoicelens.plans.joins import absent_from, first_absent, first_per_key
 from invoicelens.sources import workbook as book
 
 CELLS = [  # cell, text, strict number, leading money, whole number, day
@@ -43,3 +44,19 @@ def test_plain_cells_need_no_function_over_a_value(spark):
     for way in (convert.to_text, convert.strict_number, convert.leading_money, convert.whole_number, convert.to_day):
         plan = cells.select(way(F.col("c")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert "CASE WHEN" in plan.split("transform(")[0]
+
+
+def test_first_absent_is_absent_first(spark):
+    """Stored keys go before the ranking; a row with a NULL key part meets no other, stored or not."""
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 1, 1), ("b", 1, 1), ("b", 1, 1), (None, 1, 1), (None, 1, 1), ("c", None, 3)],
+                                 "k string, l int, o int")
+    stored = spark.createDataFrame([("b", 1), (None, 1), ("c", None), ("z", 9), ("b", 1)], "k string, l int")
+    found = first_absent(rows, stored, ["k", "l"], ["o"])
+    expected = absent_from(first_per_key(rows, ["k", "l"], ["o"]), stored, ["k", "l"])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+    assert sorted(map(tuple, found.collect()), key=repr) == [("a", 1, 1), ("c", None, 3), (None, 1, 1), (None, 1, 1)]
+
+
+def test_a_load_report_converts_its_rows_once(spark, driver_entry):
+    report = driver_entry.queries()["i13_informe_de_carga"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract(" not in report._jdf.queryExecution().optimizedPlan().toString()
