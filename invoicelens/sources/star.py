@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from invoicelens.functions.calendar import month_label
@@ -79,13 +79,19 @@ def load_star(raw: DataFrame, folder: str, now: Column | None = None, load_id: s
 
     stored = _stored_invoices(spark, folder, rows)
     others, own = stored.filter(F.col(LOAD) != load_id), stored.filter(F.col(LOAD) == load_id)
-    lines, kept, _ = materialise_counted(first_absent(invoice_rows(rows), others, INVOICE_KEY, [ORDER]).drop(ORDER))
-    # Lines that an earlier attempt of this load has left are written again, but not reported as new.
-    before = own.select(*INVOICE_KEY).join(lines.select(*INVOICE_KEY), list(INVOICE_KEY), "left_semi").count()
+    seen = Observation()
+    lines = first_absent(invoice_rows(rows), others, INVOICE_KEY, [ORDER]).drop(ORDER).observe(seen, F.count(F.lit(1)).alias("n"))
+    before, retried = 0, not own.isEmpty()
+    if retried:
+        # Lines that an earlier attempt of this load has left are written again, but not reported as new.
+        lines = materialise(lines)
+        before = own.select(*INVOICE_KEY).join(lines.select(*INVOICE_KEY), list(INVOICE_KEY), "left_semi").count()
     placed = lines.withColumn(MONTH, month_label(F.col("fecha_entrega"))).withColumn(LOAD, F.lit(load_id))
     replace_partitions(placed, f"{folder}/{INVOICES}", [MONTH, LOAD])
-    for table in (rows, lines):
-        discard(table)
+    kept = seen.get["n"]
+    discard(rows)
+    if retried:
+        discard(lines)
     report = (total, kept - before, total - kept + before, 0, int((time.monotonic() - started) * 1000))
     return spark.createDataFrame([report], "totalRows bigint, insertedRows bigint, skippedRows bigint, failedChunks int, durationMs bigint")
 

@@ -60,3 +60,13 @@ def test_first_absent_is_absent_first(spark):
 def test_a_load_report_converts_its_rows_once(spark, driver_entry):
     report = driver_entry.queries()["i13_informe_de_carga"](spark, "/root/testdata/sf0.001")
     assert "regexp_extract(" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_absent_moves_only_keys(spark):
+    rows = spark.range(1000).selectExpr("id % 990 AS k", "'wide' AS cell", "id AS o")
+    stored = spark.range(5).selectExpr("id AS k")
+    found = first_absent(rows, stored, ["k"], ["o"])
+    assert found.count() == 985 and found.agg({"o": "max"}).first()[0] == 989
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Only rows of repeated keys are moved.
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
