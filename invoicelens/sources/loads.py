@@ -26,10 +26,9 @@ REPORT = ("totalRows bigint, insertedRows bigint, skippedRows bigint, rejectedRo
 def new_sales(rows: DataFrame, stored: DataFrame, order: str = ORDER) -> DataFrame:
     """Accepted rows whose (comprobante, articulo) is neither stored nor earlier in the file.
 
-    The first rows per key are written to the shared folder, since the look-up reads them twice.
+    The accepted rows are written to the shared folder, since the look-up reads their keys first.
     """
-    batch = materialise(first_per_key(accepted(rows), FACT_KEY, [order]).select(*WORKBOOK_COLUMNS))
-    return absent_from(batch, stored, FACT_KEY).select(*WORKBOOK_COLUMNS)
+    return first_absent(materialise(accepted(rows)), stored, FACT_KEY, [order]).select(*WORKBOOK_COLUMNS)
 
 
 def materialise_counted(rows: DataFrame, **also: Column) -> tuple:
