@@ -2,10 +2,10 @@
 
 Cells arrive as text. ``strict_*`` read the whole cell, ``leading_*`` only its numeric prefix.
 
-Most cells are plain: digits, a day, text without outer blanks. These are told by a cheap test and read by compiled
-expressions. Any other cell goes the general way, where intermediate results are held by a function over one value (``_once``):
-as plain nested expressions they would be computed again at each mention. Both ways give the same; a row's conversions hold
-such functions, so that Spark compiles them in parts, and not as one method that the JVM leaves to its interpreter.
+Most cells are plain: digits (with spaces around or not), a day, text without outer blanks. These are told by a cheap test and
+read by compiled expressions. Any other cell goes the general way, where intermediate results are held by a function over one
+value (``_once``): as plain nested expressions they would be computed again at each mention. Both ways give the same; a row's
+conversions hold such functions, so that Spark compiles them in parts, and not as one method that the JVM leaves to its interpreter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ TIDY = r"^[!-~](?:[ -~]*[!-~])?\z"
 ZONED_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(?:Z|[+-]\d{2}:?\d{2})$"
 US_DAY = r"^\d{1,2}/\d{1,2}/\d{4}$"
 ISO_DAY = r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"
-PLAIN_NUMBER = r"^[+-]?[0-9]{1,300}(?:[.][0-9]{0,300})?\z"
+PLAIN_NUMBER = r"^ *[+-]?[0-9]{1,300}(?:[.][0-9]{0,300})? *\z"  # casts pass over the spaces
 PLAIN_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 

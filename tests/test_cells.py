@@ -70,3 +70,20 @@ def test_first_absent_moves_only_keys(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     # Only rows of repeated keys are moved.
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+SPACED = [  # cell, plain, strict number, strict integer, leading money, whole number
+    (" 7", True, 7, 7, D(7), 7), ("7  ", True, 7, 7, D(7), 7), ("  -7.50 ", True, -7.5, -7, D("-7.5"), None), (" +7. ", True, 7, 7, D(7), None),
+    (" 7 7", False, 0, 0, D(7), None), (" - 7", False, 0, 0, D(0), None), ("   ", False, 0, 0, D(0), None), ("\t7 ", False, 7, 7, D(7), 7),
+    ("\u00a07", False, 7, 7, D(7), 7), ("\x017", False, 0, 0, D(0), 7), (" 7f", False, 0, 0, D(7), None), (" 0x10 ", False, 16, 16, D(0), None),
+]
+
+
+def test_digits_with_spaces_around_are_plain(spark):
+    """They need no function over a value, and give what the general way gives."""
+    cells = spark.createDataFrame([(i, row[0]) for i, row in enumerate(SPACED)], "i int, c string")
+    ways = (convert.strict_number, convert.strict_integer, convert.leading_money)
+    found = cells.orderBy("i").select("c", F.col("c").rlike(convert.PLAIN_NUMBER), *[way(F.col("c")) for way in ways]).collect()
+    assert [tuple(row) for row in found] == [row[:5] for row in SPACED]
+    whole = cells.filter(~F.col("c").contains(".")).orderBy("i").select("c", convert.whole_number(F.col("c"))).collect()
+    assert [tuple(row) for row in whole] == [(row[0], row[5]) for row in SPACED if "." not in row[0]]
