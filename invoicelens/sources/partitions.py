@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from invoicelens.session import exists
+from invoicelens.session import COMPRESSION, exists, releasing_shuffles
 
 BUCKET = "cubo"
 
@@ -27,7 +27,8 @@ def replace_partitions(rows: DataFrame, path: str, partitions: Sequence[str]) ->
     The rebalance gathers a partition's rows in few files and splits a partition that is too large for one task.
     """
     writer = rows.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*partitions).parquet(path)
+    with releasing_shuffles(rows.sparkSession):
+        writer.partitionBy(*partitions).option("compression", COMPRESSION).parquet(path)
 
 
 def bucket_of(keys: Sequence[Column | str], buckets: int) -> Column:
