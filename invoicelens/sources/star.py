@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.types import StructType
 
 from invoicelens.functions.calendar import month_label
-from invoicelens.plans.joins import first_absent
+from invoicelens.plans.joins import ROW, first_absent
 from invoicelens.plans.params import MONTH
 from invoicelens.session import discard, materialise
 from invoicelens.sources.loads import (
-    DIMENSION_CELLS, INVOICE_KEY, LOAD, dimension_rows, invoice_rows, materialise_counted, upsert_dimension,
+    DIMENSION_CELLS, INVOICE_KEY, LOAD, dimension_rows, invoice_rows, materialise_numbered, upsert_dimension,
 )
 from invoicelens.sources.partitions import BUCKET, bucket_of, read_stored, replace_partitions, touched
 from invoicelens.sources.workbook import ORDER, headed_rows
@@ -51,7 +51,7 @@ def load_dimension(rows: DataFrame, folder: str, name: str, now: Column) -> None
 
 
 def _stored_invoices(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
-    schema = invoice_rows(rows).drop(ORDER).schema.add(MONTH, "string").add(LOAD, "string")
+    schema = invoice_rows(rows).drop(ORDER, ROW).schema.add(MONTH, "string").add(LOAD, "string")
     return read_stored(spark, f"{folder}/{INVOICES}", schema)
 
 
@@ -69,7 +69,7 @@ def load_star(raw: DataFrame, folder: str, now: Column | None = None, load_id: s
     """
     started = time.monotonic()
     spark = raw.sparkSession
-    rows, total, content = materialise_counted(headed_rows(raw))
+    rows, total, content = materialise_numbered(headed_rows(raw))
     if total == 0:
         raise ValueError("the input has no valid rows")
     load_id = load_id or content
@@ -80,7 +80,7 @@ def load_star(raw: DataFrame, folder: str, now: Column | None = None, load_id: s
     stored = _stored_invoices(spark, folder, rows)
     others, own = stored.filter(F.col(LOAD) != load_id), stored.filter(F.col(LOAD) == load_id)
     seen = Observation()
-    lines = first_absent(invoice_rows(rows), others, INVOICE_KEY, [ORDER]).drop(ORDER).observe(seen, F.count(F.lit(1)).alias("n"))
+    lines = first_absent(invoice_rows(rows), others, INVOICE_KEY, [ORDER]).drop(ORDER, ROW).observe(seen, F.count(F.lit(1)).alias("n"))
     before, retried = 0, not own.isEmpty()
     if retried:
         # Lines that an earlier attempt of this load has left are written again, but not reported as new.
