@@ -17,7 +17,8 @@ still in different components, those of different components are compared as wel
 costs about one comparison per member. Buckets that a sample shows to be very large never meet in one task: their smallest id
 is found by partial aggregation and sent to the rows. Equal sets are found by their hash and indexed about once per slice of a batch.
 
-Pairs that share too few signatures for their sizes are left out before sets are compared.
+Pairs that share too few signatures for their sizes, or whose parities differ in too many places, are left out before sets
+are compared.
 
 **Verification** is on the whole sets, made anew for the candidates only.
 
@@ -36,17 +37,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from invoicelens.session import discard, materialise
 
 from .batches import map_texts
 from .bounded import Memo, held
-from .buckets import SAMPLE, broadcast_if_small, resolve, shared_buckets
+from .buckets import SAMPLE, ascending, broadcast_if_small, parities, places_apart, resolve, shared_buckets
 
 SHINGLE = 5
 PERCENT = 80
 GROWTH = 1.35  # of the sizes of a band
+PARITY_WORDS = 8  # of 64 bits
 SHARED = 0.002  # chance that two unlike sets share a given element, for the cost of candidates
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -71,7 +73,7 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     total = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
         total = total * _K + hashes[k:len(words) - width + 1 + k]
-    return np.unique(mix(total))
+    return ascending(np.sort(mix(total)))
 
 
 @dataclass(frozen=True)
@@ -153,13 +155,15 @@ def signatures(shingles: np.ndarray, bands: list[Band]) -> tuple[np.ndarray, lis
         single = np.repeat(counts, counts) == 1
         some = near & ~single
         made.append(mix(np.repeat(sums, counts)[some] - value[some] + salts[segment[some]]))
-        empty = np.setdiff1d(np.arange(m), present)
+        unused = np.ones(m, bool)
+        unused[present] = False
+        empty = np.flatnonzero(unused)
         alone = segment[near & single]
         lost = len(empty) + int((empty >= band.exact).sum()) + len(alone)
         left.append(m - lost)
         if lost > band.spare:
             made.append(mix(salts[np.concatenate([empty, alone])] ^ _K))
-    return (np.unique(np.concatenate(made)) if made else np.empty(0, np.uint64)), left
+    return (ascending(np.sort(np.concatenate(made))) if made else np.empty(0, np.uint64)), left
 
 
 def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
@@ -169,10 +173,10 @@ def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def index_documents(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
-    """Rows (id, n_shingles, hi, lo, matching, least, signatures); of equal sets in a slice only the smallest id has signatures.
+    """Rows (id, n_shingles, hi, lo, matching, least, parity, signatures); of equal sets in a slice only the smallest id has signatures.
 
     ``matching`` counts the segments of the set's own band that would match if nothing differed, ``least`` is the smallest
-    such count of its bands.
+    such count of its bands. ``parity`` is that of the shingles.
     """
     n_docs = docs.count()
     key = uuid.uuid4().hex
@@ -186,7 +190,9 @@ def index_documents(docs: DataFrame, id_col: str, text_col: str, percent: int =
             if len(sets[at]) and doc is not None and (own not in first or doc < ids[first[own]]):
                 first[own] = at
         made: dict[str, list] = {"n_shingles": [len(s) for s in sets], "hi": [h for h, _ in hashes], "lo": [low for _, low in hashes],
-                                 "matching": [], "least": [], "signatures": []}
+                                 "matching": [], "least": [], "parity": [], "signatures": []}
+        owner = np.repeat(np.arange(len(sets)), made["n_shingles"])
+        made["parity"] = list(parities(np.concatenate([*sets, np.empty(0, np.uint64)]), owner, len(sets), PARITY_WORDS))
         for at, shingles in enumerate(sets):
             in_bands = bands.of(len(shingles)) if len(shingles) else []
             own, left = signatures(shingles, in_bands) if first.get(hashes[at]) == at else (np.empty(0, np.uint64), [0])
@@ -195,7 +201,7 @@ def index_documents(docs: DataFrame, id_col: str, text_col: str, percent: int =
             made["signatures"].append(own.view(np.int64))
         return made
 
-    fields = "n_shingles bigint, hi bigint, lo bigint, matching int, least int, signatures array<bigint>"
+    fields = "n_shingles bigint, hi bigint, lo bigint, matching int, least int, parity array<bigint>, signatures array<bigint>"
     return materialise(map_texts(docs, id_col, text_col, fields, per_slice, with_ids=True).withColumnRenamed(id_col, "id"))
 
 
@@ -211,11 +217,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as_rows = lambda df: df.select(F.explode("signatures").alias("signature"), "id")
     buckets = shared_buckets(as_rows(given), as_rows(given.filter(F.pmod(F.xxhash64("hi", "id"), F.lit(SAMPLE)) == 0)))
     discard(wide)
-    known = full.select("id", "n_shingles", "matching", "least").distinct()
+    known = full.select("id", "n_shingles", "matching", "least", "parity").distinct()
     for _ in range(2):
         buckets, members = _viable(buckets, known, percent)
-    groups = resolve(buckets, lambda pairs: _fitting(pairs, members, percent), lambda pairs: _verified(docs, id_col, text_col, pairs, percent),
-                     members.select("id", "least"))
+    groups = resolve(buckets, members.select("id", "n_shingles", "parity"), lambda a, b: _close(a, b, percent),
+                     lambda pairs: _verified(docs, id_col, text_col, pairs, percent), lambda pairs: _fitting(pairs, members, percent))
     changed = sets.join(groups, sets["rep"] == groups["node"], "left").select(
         "hi", "lo", "copies", "rep", F.coalesce("component", "rep").alias("component")).filter(
         (F.col("copies") > 1) | (F.col("component") != F.col("rep"))).select("hi", "lo", "component")
@@ -238,20 +244,30 @@ def _viable(buckets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFra
     return materialise(rows.join(hubs.drop("last"), "signature")), members
 
 
+def _differing(a: str, b: str, percent: int) -> Column:
+    """The most elements that are in one of two linked sets only; endings name the sizes."""
+    return F.floor((F.col(f"n_shingles{a}") + F.col(f"n_shingles{b}")) * (100 - percent) / F.lit(100 + percent))
+
+
+def _close(a: str, b: str, percent: int) -> Column:
+    """Sizes must fit, and parities differ in no more places than linked sets do in elements."""
+    sizes = F.col(f"n_shingles{a}"), F.col(f"n_shingles{b}")
+    return ((100 * F.least(*sizes) >= percent * F.greatest(*sizes))
+            & (places_apart(F.col(f"parity{a}"), F.col(f"parity{b}"), PARITY_WORDS) <= _differing(a, b, percent)))
+
+
 def _fitting(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs that can link by what is known without their sets.
+    """The pairs that can link by the signatures they share.
 
-    Sizes must fit, and all segments of the smaller set's band but for the differing and empty ones share a signature, so each
-    set must have at least so many signatures in shared buckets.
+    All segments of the smaller set's band but for the differing and empty ones share a signature, so each set must have at
+    least so many signatures in shared buckets.
     """
+    members = members.drop("parity")
     named = [members.withColumnsRenamed({c: c if c == "id" else f"{c}_{x}" for c in members.columns}).withColumnRenamed("id", x) for x in "ab"]
     sized = pairs.join(named[0], "a").join(named[1], "b")
-    differing = F.floor((F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - percent) / F.lit(100 + percent))
     a_smaller = F.struct("n_shingles_a", "a") < F.struct("n_shingles_b", "b")
-    needed = F.when(a_smaller, F.col("matching_a")).otherwise(F.col("matching_b")) - differing
-    return sized.filter(
-        (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-        & (F.coalesce("common", F.least("shared_a", "shared_b")) >= needed)).select("a", "b")
+    needed = F.when(a_smaller, F.col("matching_a")).otherwise(F.col("matching_b")) - _differing("_a", "_b", percent)
+    return sized.filter(F.coalesce("common", F.least("shared_a", "shared_b")) >= needed).select("a", "b")
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, percent: int) -> DataFrame:
